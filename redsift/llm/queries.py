@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redsift.functions.ids import plain_obs_id
-from redsift.llm import cross_split, group_splits
+from redsift.llm import cross_split, cut_text, group_splits, packing
 from redsift.llm.term_counts import marked, term_counts
 from redsift.operators.latest import latest
-from redsift.session import table
+from redsift.session import table, written
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -52,7 +52,28 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
     return per.groupBy(split.alias("split"), "obs_id").agg(F.sum("n").alias("n_pairs"), F.count(F.lit(1)).alias("n_patches"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_splits, p3_found, p3_terms, p4_found, p4_counts)}
+def _cut(spark: SparkSession, d: str) -> DataFrame:
+    return cut_text.cut_rows(table(spark, d, "rdr_index").select("pos", "rationale_desc", "delivery"), "pos", "rationale_desc", "delivery")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _cut(spark, d).where("cut").select(F.col("key").alias("pos")).distinct()
+
+
+def p6_shares(spark: SparkSession, d: str) -> DataFrame:
+    return cut_text.cut_shares(_cut(spark, d)).withColumnRenamed("source", "delivery")
+
+
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Containers of 2,048 tokens per document or piece. The sizes are written once: packing reads them twice."""
+    return packing.packed(written(packing.sized(table(spark, d, "documents"), "doc_id", "text"), "sizes"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p7_packed(spark, d))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_splits, p3_found, p3_terms, p4_found, p4_counts, p6_found, p6_shares, p7_packed, p7_fill)}
 
 _PLAIN = r"""nullif(trim(regexp_replace(upper({0}), '^\s*([A-Z]{{3}})[^A-Z0-9]*([0-9]{{6}})[^A-Z0-9]*([0-9]{{4}})([^A-Z0-9].*)?$', '\1_\2_\3')), '')"""
 
