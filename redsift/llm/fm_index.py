@@ -22,7 +22,7 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     while True:
         key = rank * (n + 1)
         key[: n - step] += rank[step:] + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key = key[order]
         rank = np.empty(n, dtype=np.int64)
         rank[order] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redsift.functions.ids import plain_obs_id
-from redsift.llm import cross_split, cut_text, group_splits, packing
+from redsift.llm import cross_split, cut_text, group_splits, leakage, packing
 from redsift.llm.term_counts import marked, term_counts
 from redsift.operators.latest import latest
 from redsift.session import table, written
@@ -73,7 +73,21 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(p7_packed(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_splits, p3_found, p3_terms, p4_found, p4_counts, p6_found, p6_shares, p7_packed, p7_fill)}
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Per leaked item, how many documents repeat it, and the greatest share of its words that one does."""
+    share = F.round(F.max(F.col("n_words") / F.col("n_item_words")), 4)
+    return _leaks(spark, d).groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_documents"), share.alias("most"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_splits, p3_found, p3_terms, p4_found, p4_counts, p6_found, p6_shares, p7_packed, p7_fill, p8_found, p8_items)}
 
 _PLAIN = r"""nullif(trim(regexp_replace(upper({0}), '^\s*([A-Z]{{3}})[^A-Z0-9]*([0-9]{{6}})[^A-Z0-9]*([0-9]{{4}})([^A-Z0-9].*)?$', '\1_\2_\3')), '')"""
 
