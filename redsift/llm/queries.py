@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redsift.functions.ids import plain_obs_id
-from redsift.llm import cross_split, cut_text, group_splits, leakage, packing
+from redsift.llm import cross_split, cut_text, group_splits, leakage, packing, subjects
 from redsift.llm.term_counts import marked, term_counts
 from redsift.operators.latest import latest
 from redsift.session import table, written
@@ -87,7 +87,19 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_documents"), share.alias("most"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_splits, p3_found, p3_terms, p4_found, p4_counts, p6_found, p6_shares, p7_packed, p7_fill, p8_found, p8_items)}
+#: The subjects of the problem; a document about none of them is general.
+SUBJECTS = ["impact", "slopes", "polar", "aeolian", "fluvial", "volcanic", "mineralogy", "tectonics", "landing", "calibration"]
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subjects(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "subject_labels"), "doc_id", "subject", SUBJECTS)
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.shares(p9_found(spark, d))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_splits, p3_found, p3_terms, p4_found, p4_counts, p6_found, p6_shares, p7_packed, p7_fill, p8_found, p8_items, p9_found, p9_shares)}
 
 _PLAIN = r"""nullif(trim(regexp_replace(upper({0}), '^\s*([A-Z]{{3}})[^A-Z0-9]*([0-9]{{6}})[^A-Z0-9]*([0-9]{{4}})([^A-Z0-9].*)?$', '\1_\2_\3')), '')"""
 
