@@ -67,11 +67,10 @@ def classified(lines: DataFrame, line: str = "line", schema: T.StructType = TAB_
     field), ``columns`` (not as many fields as the schema; so are blank, empty and null lines), ``orbit_number`` (no
     whole number 0..999999 in ASCII digits, one leading ``+`` and leading zeros allowed), ``incidence_angle`` (no finite
     decimal 0..180 in ASCII). Other fields are not judged. White space around fields and inside a quoted number means
-    nothing. Repeated lines are each judged. Columns of ``lines`` are kept; a column named ``_row``, ``_reason`` or
-    ``_text_*`` is replaced.
+    nothing. Repeated lines are each judged. Columns of ``lines`` are kept; none may be named ``_row``, ``_taken``,
+    ``_reason``, ``_orbit_number`` or ``_incidence_angle``.
     """
     names = [f.name for f in schema.fields]
-    at = {n: names.index(n) + 1 for n in ("orbit_number", "incidence_angle")}
     permissive = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     options = {
         "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "quote": '"', "escape": '"', "lineSep": "\u0002",
@@ -80,21 +79,37 @@ def classified(lines: DataFrame, line: str = "line", schema: T.StructType = TAB_
     text = F.coalesce(F.col(line), F.lit(""))
     readable = F.length(text) - F.length(F.replace(text, F.lit(","), F.lit(""))) <= MAX_COMMAS
     out = lines.withColumn("_row", F.from_csv(F.when(readable, _strip(text)), permissive.simpleString(), options))
-    # corrupt by the reader, or with marks at which the reader is lenient: judged from the raw text
+    # the reader took it, and it is of the plain form in which reader and format agree
+    row = F.col("_row")
+    taken = row[CORRUPT].isNull() & text.rlike(_plain_form(names)) & row["orbit_number"].between(0, 999_999) & row["incidence_angle"].between(0, 180)
+    out = out.withColumn("_taken", F.coalesce(taken, F.lit(False)))
+    # the others, corrupt to the reader or not, are classified from the raw text
     parts = F.split(text, '"', -1)
-    out = out.withColumn("_text_parts", parts).withColumn("_text_outside", _outside(F.col("_text_parts")))
-    o = F.col("_text_outside")
-    quoting = (F.size("_text_parts") % 2 == 0) | o.rlike(r'(?U)[^",\s]\s*"|"\s*[^",\s]|"\s+"')
+    o = _outside(parts)
+    quoting = (F.size(parts) % 2 == 0) | o.rlike(r'(?U)[^",\s]\s*"|"\s*[^",\s]|"\s+"')
     count = F.length(o) - F.length(F.replace(o, F.lit(","), F.lit(""))) + 1
-    out = out.withColumn("_text_orbit", _field(F.col("_text_parts"), at["orbit_number"])).withColumn("_text_angle", _field(F.col("_text_parts"), at["incidence_angle"]))
-    angle = F.when(F.col("_text_angle").rlike(DECIMAL), F.expr("try_cast(_text_angle as double)"))
+    exact = {n: _field(parts, names.index(n) + 1) for n in ("orbit_number", "incidence_angle")}
+    angle = F.when(exact["incidence_angle"].rlike(DECIMAL), exact["incidence_angle"].try_cast("double"))
     reason = (
-        F.when(quoting, F.lit("quoting"))
+        F.when(F.col("_taken"), F.lit(None).cast("string"))
+        .when(quoting, F.lit("quoting"))
         .when(count != len(names), F.lit("columns"))
-        .when(~F.coalesce(F.col("_text_orbit").rlike(WHOLE), F.lit(False)), F.lit("orbit_number"))
+        .when(~F.coalesce(exact["orbit_number"].rlike(WHOLE), F.lit(False)), F.lit("orbit_number"))
         .when(~F.coalesce(angle.between(0, 180), F.lit(False)), F.lit("incidence_angle"))
     )
-    return out.withColumn("_reason", reason).drop("_text_parts", "_text_outside")
+    orbit = F.when(F.col("_taken"), row["orbit_number"]).otherwise(exact["orbit_number"].try_cast("int"))
+    incidence = F.when(F.col("_taken"), row["incidence_angle"]).otherwise(angle)
+    return out.select("*", reason.alias("_reason"), orbit.alias("_orbit_number"), incidence.alias("_incidence_angle")).drop("_taken")
+
+
+def _plain_form(names: list[str]) -> str:
+    """A line of whole fields, bare or quoted without inner quotes, with ASCII numbers where they are judged.
+
+    All quantifiers are possessive: no backtracking and no recursion that grows with the line.
+    """
+    field = r'(?:\s*+"[^"]*+"\s*+|[^",]*+)'
+    numbers = {"orbit_number": r"\s*+\+?+[0-9]++\s*+", "incidence_angle": r"\s*+[+-]?+(?:[0-9]++\.?+[0-9]*+|\.[0-9]++)(?:[eE][+-]?+[0-9]++)?+\s*+"}
+    return "^" + ",".join(numbers.get(n, field) for n in names) + "$"
 
 
 def rejected(lines: DataFrame, line: str = "line", schema: T.StructType = TAB_SCHEMA) -> DataFrame:
@@ -115,10 +130,8 @@ def loaded(lines: DataFrame, line: str = "line", schema: T.StructType = TAB_SCHE
     keep = [F.col(f"`{c}`").alias(f"line_{c}" if c in names else c) for c in lines.columns if c != line]
     fields = []
     for f in schema.fields:
-        if f.name == "orbit_number":  # the reader refuses a padded number in quotes and takes digits of other scripts
-            c = F.expr("try_cast(_text_orbit as int)")
-        elif f.name == "incidence_angle":
-            c = F.expr("try_cast(_text_angle as double)")
+        if f.name in ("orbit_number", "incidence_angle"):
+            c = F.col(f"_{f.name}")
         elif f.name in LENIENT:
             c = F.expr(f"try_cast(trim(_row.`{f.name}`) as double)")
         else:
