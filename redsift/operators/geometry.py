@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from redsift.session import parallelism
+
 
 def area(ring: np.ndarray) -> float:
     """Signed area, positive counter-clockwise."""
@@ -112,7 +114,7 @@ def shares(ring: np.ndarray, x: np.ndarray, y: np.ndarray, size: float | tuple[f
 def valid_centres(ring: np.ndarray, size: float | tuple[float, float], overlap: float, rays: int = 3) -> np.ndarray:
     """Ring of the centres whose patch keeps at least ``overlap`` of its area inside, empty if there is none.
 
-    Rays from the centroid through each corner and ``rays`` directions between are bisected at once, to 2^-60 of their
+    Rays from the centroid through each corner and ``rays`` directions between are bisected at once, to 2^-42 of their
     length; the inner end is kept, so the guarantee holds.
     """
     if not 0 <= overlap <= 1:
@@ -130,7 +132,7 @@ def valid_centres(ring: np.ndarray, size: float | tuple[float, float], overlap:
     angle = np.unique((corner[:, None] + gap[:, None] * np.arange(rays + 1) / (rays + 1)).ravel() % (2 * np.pi))
     step = np.stack([np.cos(angle), np.sin(angle)], axis=1)
     lo, hi = np.zeros(len(angle)), np.full(len(angle), np.linalg.norm(ring - c, axis=1).max() + np.hypot(h, w))
-    for _ in range(60):
+    for _ in range(42):
         mid = (lo + hi) / 2
         at = c + step * mid[:, None]
         ok = shares(ring, at[:, 0], at[:, 1], size) >= overlap
@@ -226,7 +228,7 @@ def strip_centres(strips: DataFrame, size: float | tuple[float, float], overlap:
 
     optimal packs the region of valid centres (share >= overlap), simple takes a grid (share > overlap); a strip for
     which packing finds nothing falls back to simple. A strip without a usable ring or centre gives one row with null
-    centre and its reason. Strips are independent: a map without a shuffle.
+    centre and its reason. Strips are independent; they are spread evenly first.
     """
     if mode not in ("simple", "optimal"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -248,7 +250,9 @@ def strip_centres(strips: DataFrame, size: float | tuple[float, float], overlap:
                 n = max(1, len(c))
                 yield pd.DataFrame({"id": [i] * n, "k": range(n), "cx": c[:, 0] if len(c) else [None], "cy": c[:, 1] if len(c) else [None], "share": shares(ring, c[:, 0], c[:, 1], size) if len(c) else [None], "reason": reason})
 
-    return strips.select("id", "ring").mapInPandas(run, f"id {kind}, k int, cx double, cy double, share double, reason string")
+    # packing costs far more than moving a ring
+    spread = strips.select("id", "ring").repartition(4 * parallelism(strips.sparkSession), "id")
+    return spread.mapInPandas(run, f"id {kind}, k int, cx double, cy double, share double, reason string")
 
 
 def ring_overlaps(pairs: DataFrame) -> DataFrame:

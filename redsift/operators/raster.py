@@ -51,6 +51,18 @@ def _shift(a: np.ndarray, dy: int, dx: int, mode: str = "edge") -> np.ndarray:
     return b[p + dy : p + dy + a.shape[0], p + dx : p + dx + a.shape[1]]
 
 
+def _around(a: np.ndarray, mode: str = "edge"):
+    """(dy, dx) -> a moved by at most one pixel; the border is made once."""
+    b = np.empty((a.shape[0] + 2, a.shape[1] + 2), dtype=a.dtype)
+    b[1:-1, 1:-1] = a
+    if mode == "edge":
+        b[0, 1:-1], b[-1, 1:-1] = a[0], a[-1]
+        b[:, 0], b[:, -1] = b[:, 1], b[:, -2]
+    else:
+        b[0], b[-1], b[:, 0], b[:, -1] = 0, 0, 0, 0
+    return lambda dy, dx: b[1 + dy : 1 + dy + a.shape[0], 1 + dx : 1 + dx + a.shape[1]]
+
+
 def box_sum(a: np.ndarray, k: int) -> np.ndarray:
     """Sums over all k x k windows inside the tile, by an integral image."""
     s = np.pad(a.astype(float).cumsum(axis=0).cumsum(axis=1), ((1, 0), (1, 0)))
@@ -65,7 +77,8 @@ def erode(valid: np.ndarray, radius: int = 1) -> np.ndarray:
 
 def gradients(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sobel derivatives along x and y, edges replicated."""
-    s = {(i, j): _shift(a, i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)}
+    at = _around(a)
+    s = {(i, j): at(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)}
     gx = (s[-1, 1] + 2 * s[0, 1] + s[1, 1] - s[-1, -1] - 2 * s[0, -1] - s[1, -1]) / 8
     gy = (s[1, -1] + 2 * s[1, 0] + s[1, 1] - s[-1, -1] - 2 * s[-1, 0] - s[-1, 1]) / 8
     return gx, gy
@@ -83,7 +96,8 @@ def forward_magnitude(a: np.ndarray, valid: np.ndarray) -> np.ndarray:
 
 def laplacian(a: np.ndarray) -> np.ndarray:
     """Five-point Laplacian, zero outside."""
-    return sum(_shift(a, dy, dx, "zero") for dy, dx in ((0, 1), (0, -1), (1, 0), (-1, 0))) - 4 * a
+    at = _around(a, "zero")
+    return at(0, 1) + at(0, -1) + at(1, 0) + at(-1, 0) - 4 * a
 
 
 def smooth(a: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -244,7 +258,10 @@ def diffusion_fill(a: np.ndarray, valid: np.ndarray, rounds: int = 64, radius: i
         return a.copy()
     out = np.where(keep, a, a[keep].mean())
     for _ in range(rounds):
-        blur = sum(_shift(out, i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)) / 9
+        at = _around(out)
+        rows = at(-1, 0) + out + at(1, 0)
+        side = _around(rows)
+        blur = (side(0, -1) + rows + side(0, 1)) / 9
         out = np.where(keep, a, blur)
     return out
 
@@ -258,15 +275,17 @@ def harmonic_fill(a: np.ndarray, valid: np.ndarray, connectivity: int = 4, nugge
     free = ~valid
 
     def apply(x: np.ndarray) -> np.ndarray:
-        return np.where(free, degree * x - sum(_shift(x, *s, "zero") for s in steps), 0.0)
+        at = _around(x, "zero")
+        return np.where(free, degree * x - sum(at(*s) for s in steps), 0.0)
 
     known = np.where(valid, a, 0.0)
     b = np.where(free, sum(_shift(known, *s, "zero") for s in steps), 0.0)
     x = np.where(free, known[valid].mean(), 0.0)
     r = b - apply(x)
     p, rr = r.copy(), float((r * r).sum())
+    scale = max(float((b * b).sum()), 1e-30)
     for _ in range(rounds):
-        if rr < 1e-18:
+        if rr < 1e-12 * scale:
             break
         q = apply(p)
         alpha = rr / float((p * q).sum())

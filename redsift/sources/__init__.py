@@ -1 +1 @@
-"""See the module docstrings in this package."""
+"""Readers and writers: index tables, labels, listings, manifests, statistics, chunked training sets."""
