@@ -94,7 +94,7 @@ def parse_labels(df: DataFrame, text: str = "value") -> DataFrame:
 
 def read_labels(spark: SparkSession, folder: str) -> DataFrame:
     """One row per label file below a folder."""
-    f = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{LBL,lbl}").text(folder)
+    f = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{LBL,lbl}").text(folder, wholetext=True)
     return parse_labels(f.withColumn("path", F.input_file_name())).drop("value")
 
 
