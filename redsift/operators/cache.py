@@ -101,7 +101,16 @@ def load_split(spark: SparkSession, path: str, expected: int, **parameters: obje
 def checksums(spark: SparkSession, folder: str) -> DataFrame:
     """``(name, sha256, length)`` of the files of a folder, hashed in parallel."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return f.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"), "length")
+    got = f.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"), "length")
+    # the scan passes over names that begin with an underscore; the marker is one small file
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder.rstrip("/") + "/_SUCCESS")
+    fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(marker):
+        return got
+    stream = fs.open(marker)
+    data = bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    stream.close()
+    return got.unionByName(spark.createDataFrame([("_SUCCESS", hashlib.sha256(data).hexdigest(), len(data))], "name string, sha256 string, length long"))
 
 
 def checksum_sample(files: DataFrame, most: int = 9) -> DataFrame:

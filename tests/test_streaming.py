@@ -10,21 +10,30 @@ def source(spark, path, rows):
     return spark.readStream.schema(SCHEMA).parquet(path)
 
 
+def finish(q):
+    try:
+        assert q.awaitTermination(30)
+    finally:
+        q.stop()
+
+
 ROWS = [("a", "2024-01-01 00:00:00", "run", 1.0), ("a", "2024-01-01 00:05:00", "done", None), ("b", "2024-01-01 00:20:00", "run", 2.0)]
 
 
 def test_heartbeats_stream_equals_batch(spark, tmp_path):
     s = source(spark, str(tmp_path / "in"), ROWS)
     q = jobs.heartbeats(s, "ts", "job").writeStream.outputMode("complete").format("memory").queryName("beats").trigger(availableNow=True).start()
-    q.awaitTermination()
+    finish(q)
     batch = jobs.heartbeats(spark.read.schema(SCHEMA).parquet(str(tmp_path / "in")), "ts", "job")
     assert sorted(map(tuple, spark.sql("select * from beats").collect())) == sorted(map(tuple, batch.collect()))
 
 
 def test_watch_reports_running_jobs(spark, tmp_path):
     s = source(spark, str(tmp_path / "in"), ROWS)
+    # with timers pending, batches without data would go on for ever
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     q = jobs.watch(s, 600_000).writeStream.outputMode("append").format("memory").queryName("watched").trigger(availableNow=True).start()
-    q.awaitTermination()
+    finish(q)
     got = {r["job"]: (r["n_events"], r["state"]) for r in spark.sql("select * from watched").collect()}
     assert got == {"a": (2, "running"), "b": (1, "running")}
 
@@ -32,7 +41,7 @@ def test_watch_reports_running_jobs(spark, tmp_path):
 def test_upsert_sink(spark, tmp_path):
     s = source(spark, str(tmp_path / "in"), ROWS)
     q = s.writeStream.foreachBatch(jobs.upsert_sink(str(tmp_path / "t"), "job", "ts")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    finish(q)
     assert {(r["job"], r["status"]) for r in spark.read.parquet(str(tmp_path / "t" / "v0")).collect()} == {("a", "done"), ("b", "run")}
 
 
