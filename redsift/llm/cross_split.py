@@ -20,7 +20,7 @@ from redsift.functions.ids import plain_obs_id
 from redsift.llm.fm_index import FMIndex
 from redsift.operators.latest import latest
 from redsift.operators.spatial_join import _cell, _plan, _ranges, lon360
-from redsift.session import parallelism
+from redsift.session import parallelism, written
 
 #: Fixed values of the problem: how far centres may differ in either coordinate, and the least set similarity.
 NEAR_DEG = 0.000505
@@ -31,9 +31,8 @@ OUT_ROWS = 100_000
 GRID = 0.00102
 
 
-def obs_code(c: Column) -> Column:
+def obs_code(p: Column) -> Column:
     """Injective long of an observation id in plain form; ids of another shape get a negative hash."""
-    p = plain_obs_id(c)
     usual = p.rlike("^[A-Z]{3}_[0-9]{6}_[0-9]{4}$")
     letters = sum(((F.ascii(F.substring(p, k, 1)) - 65) * w for k, w in ((1, 676), (2, 26), (3, 1))), F.lit(0)).cast("long")
     digits = F.concat(F.substring(p, 5, 6), F.substring(p, 12, 4)).cast("long")
@@ -48,7 +47,8 @@ def records(patches: DataFrame, manifest: DataFrame) -> DataFrame:
     """
     p = latest(patches.select("patch_id", F.col("centroid_lon").alias("lon"), F.col("centroid_lat").alias("y"), "contributing_obs_ids", "built_at").where("patch_id is not null"), ["patch_id"], ["built_at"])
     p = p.where("lon is not null and y is not null and not isnan(lon) and not isnan(y)")
-    ids = F.filter("contributing_obs_ids", lambda o: plain_obs_id(o).isNotNull())
+    # one transform per step: a lambda evaluates its argument's expression wherever it is used
+    ids = F.array_compact(F.transform("contributing_obs_ids", plain_obs_id))
     obs = F.array_sort(F.array_distinct(F.transform(ids, obs_code)))
     name = F.lower(F.regexp_replace("holdout_split", r"(?U)^\s+|\s+$", ""))
     part = F.when(name == "train", 0).when(name == "val", 1).when(name == "test", 2)
@@ -144,6 +144,7 @@ def overlaps(recs: DataFrame, per_task: int = PER_TASK) -> DataFrame:
     (some of its evaluation records against some of its training records), so that no task holds all of it.
     """
     spark = recs.sparkSession
+    recs = written(recs, "records")  # read twice: for the counts and for the shards
     x, y, d = F.col("x"), F.col("y"), F.lit(NEAR_DEG)
     window = F.array_distinct(F.array(*[_cell(lon360(x + a * d), y + b * d) for a in (-1, 1) for b in (-1, 1)]))
     placed = recs.select("patch_id", "part", "x", "y", "obs", F.when(F.col("part") == 0, window).otherwise(F.array(_cell(x, y))).alias("cells"))
