@@ -28,6 +28,8 @@ STEM = 24
 SPIKE, SPIKE_ROWS, AROUND = 4.0, 5, 5
 #: A word that closes less than this share of the values in which it occurs marks a value that may be cut.
 SAMPLE_SHARE = 0.01
+#: A word that occurs at the end only is taken for whole if it closes at least this share of all values.
+CLOSING = 0.02
 #: What stands for a missing statement.
 PLACEHOLDERS = ("", "-", "--", "n/a", "na", "unk", "null", "none", "unknown", "tbd")
 
@@ -152,13 +154,15 @@ def train(sample: list[tuple[str, bool]], limits: list[int], whole: np.ndarray,
     for t, lim in values:
         if not lim:
             ends[closing(t)] = ends.get(closing(t), 0) + 1
-    share = SAMPLE_SHARE * len(values) / max(whole.sum() / 6, len(values))
+    share = SAMPLE_SHARE * len(values) / max(whole.sum() / 6, len(values), 1)
 
     def intact(t: str, lim: bool) -> bool:
         if t[-1] in ".!?)":
             return not t.endswith("..")
         w = closing(t)
         h = _h(w) % BUCKETS
+        if whole[h] < 2 and ends.get(w, 0) >= CLOSING * len(values):
+            return not lim  # never elsewhere, but what closes so many values is a word
         if ends.get(w, 0) < share * whole[h]:
             return False  # a word that hardly ever closes a value
         return not lim and (t[-1].isalpha() or t[-1].isdigit()) and (whole[h] >= 2 and whole[h] * 3 >= heads[h] or any(c.isdigit() for c in w))

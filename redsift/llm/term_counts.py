@@ -80,6 +80,7 @@ def term_counts(records: DataFrame, text: str, rows: int = ROWS, bits: int = BIT
     schema = "term string, n_occurrences bigint, n_records bigint"
     part = records.where(F.col(text).isNotNull()).select(terms(text).alias("terms")).mapInArrow(_partial, schema)
     radix = lambda depth: F.shiftright(F.shiftleft("h", bits * depth), 64 - bits).cast("int")
+    spilled = f"{schema}, h bigint, radix int"
     root = shared_path(spark, "terms")
     part.withColumn("h", F.xxhash64("term")).withColumn("radix", radix(0)).write.partitionBy("radix").parquet(root)
     leaves, open_, depth = [], [root], 0
@@ -87,7 +88,7 @@ def term_counts(records: DataFrame, text: str, rows: int = ROWS, bits: int = BIT
         split = []
         for folder in open_:
             # one row per partition
-            for r in spark.read.parquet(folder).groupBy("radix").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("a"), F.max("h").alias("b")).collect():
+            for r in spark.read.schema(spilled).parquet(folder).groupBy("radix").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("a"), F.max("h").alias("b")).collect():
                 at = f"{folder}/radix={r['radix']}"
                 if r["n"] > rows and r["a"] != r["b"] and (depth + 2) * bits <= 64:
                     split.append(at)
@@ -96,14 +97,14 @@ def term_counts(records: DataFrame, text: str, rows: int = ROWS, bits: int = BIT
         open_, depth = [], depth + 1
         for at in split:
             deeper = at.replace(root, f"{root}-{depth}").replace("radix=", "r")
-            spark.read.parquet(at).withColumn("radix", radix(depth)).write.partitionBy("radix").parquet(deeper)
+            spark.read.schema(spilled).parquet(at).withColumn("radix", radix(depth)).write.partitionBy("radix").parquet(deeper)
             open_.append(deeper)
     if not leaves:
         return spark.createDataFrame([], schema + ", n_total bigint")
     paths = spark.createDataFrame([(i, p) for i, p in enumerate(leaves)], "i int, path string").repartitionById(len(leaves), F.col("i"))
     counts = paths.select("path").mapInArrow(_aggregated, schema)
     # the empty term carries the numbers of records of the batches
-    total = spark.read.parquet(root).where((F.col("h") == F.xxhash64(F.lit(""))) & (F.col("term") == "")).agg(F.sum("n_records")).first()[0] or 0
+    total = spark.read.schema(spilled).parquet(root).where((F.col("h") == F.xxhash64(F.lit(""))) & (F.col("term") == "")).agg(F.sum("n_records")).first()[0] or 0
     return counts.where("term <> ''").withColumn("n_total", F.lit(total).cast("bigint"))
 
 
