@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from redsift.session import written
+
 
 def split_counts(n: int, train: float, val: float, test: float) -> tuple[int, int, int]:
     """Sizes with test and val rounded half to even and the rest in train; errors for bad fractions or no training data."""
@@ -29,11 +31,12 @@ def ranked(df: DataFrame, order: list[Column], rank: str = "_r") -> DataFrame:
     """
     names = [f"_o{i}" for i in range(len(order))]
     srt = df.withColumns(dict(zip(names, order, strict=True))).repartitionByRange(*[F.col(n).asc_nulls_first() for n in names]).sortWithinPartitions(*[F.col(n).asc_nulls_first() for n in names])
-    # the id is the partition in its upper bits and the row in it in the lower
-    got = srt.withColumn("_id", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_id", 33))
+    # the id is the partition in its upper bits and the row in it in the lower; written, since a second evaluation might
+    # draw other range bounds
+    got = written(srt.drop(*names).withColumn("_id", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_id", 33)), "ranked")
     sizes = got.groupBy("_p").agg(F.count(F.lit(1)).alias("_k"))
     before = sizes.withColumn("_skip", F.sum("_k").over(Window.orderBy("_p")) - F.col("_k")).select("_p", "_skip")
-    return got.join(F.broadcast(before), "_p").withColumn(rank, F.col("_id").bitwiseAND((1 << 33) - 1) + F.col("_skip") + 1).drop("_id", "_p", "_skip", *names)
+    return got.join(F.broadcast(before), "_p").withColumn(rank, F.col("_id").bitwiseAND((1 << 33) - 1) + F.col("_skip") + 1).drop("_id", "_p", "_skip")
 
 
 def percent_split(df: DataFrame, order: list[Column], train: float = 0.8, val: float = 0.1, test: float = 0.1) -> DataFrame:
