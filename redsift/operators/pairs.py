@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,12 +100,13 @@ def quality_filter(df: DataFrame, valid: float = 0.5, residual: float = 0.1, tin
     return df.where(F.col("is_valid") & (F.col("valid_ratio") >= valid) & (F.col("residual") >= residual) & (F.col("is_tin") <= tin) & (F.col("num_merges") == merges))
 
 
-def grid_neighbours(df: DataFrame, key: str, row: str, col: str) -> DataFrame:
-    """Pairs of grid patches at the offsets (0,1), (1,-1), (1,0), (1,1): an equi-join on exploded offsets."""
+def grid_neighbours(df: DataFrame, key: str, row: str, col: str, by: Sequence[str] = ()) -> DataFrame:
+    """Pairs of grid patches at the offsets (0,1), (1,-1), (1,0), (1,1): an equi-join on exploded offsets. With ``by``
+    each of its values is a grid of its own."""
     offsets = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1))])
-    a = df.select(F.col(key).alias("a"), F.col(row).alias("r"), F.col(col).alias("c"), F.explode(offsets).alias("o"))
-    a = a.select("a", (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c"), "o.dr", "o.dc")
-    return a.join(df.select(F.col(key).alias("b"), F.col(row).alias("r"), F.col(col).alias("c")), ["r", "c"]).select("a", "b", "dr", "dc")
+    a = df.select(*by, F.col(key).alias("a"), F.col(row).alias("r"), F.col(col).alias("c"), F.explode(offsets).alias("o"))
+    a = a.select(*by, "a", (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c"), "o.dr", "o.dc")
+    return a.join(df.select(*by, F.col(key).alias("b"), F.col(row).alias("r"), F.col(col).alias("c")), [*by, "r", "c"]).select(*by, "a", "b", "dr", "dc")
 
 
 def candidate_grid(strips: DataFrame, size: float, stride: float, overlap: float = 0.5) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Mosaics from overlapping patches: robust planes between neighbours, one small global solve, tapered robust blend."""
+"""Mosaics from overlapping patches: robust planes between neighbours, one small solve per scene, tapered robust blend."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from redsift.operators.pairs import grid_neighbours
 from redsift.operators.stats import robust_blend
+from redsift.session import written
 
 HUBER = 1.345
 
@@ -48,12 +49,13 @@ def taper(size: int, power: float = 3.0) -> np.ndarray:
 
 
 def pair_planes(patches: DataFrame, size: int, stride: int) -> DataFrame:
-    """``(a, b, px, py, pc, weight)``: the plane by which neighbour b differs from a over their overlap, per pair.
+    """``(scene, a, b, px, py, pc, weight)``: the plane by which neighbour b differs from a over their overlap, per pair.
 
-    ``patches``: patch, row, col (grid steps), values and conf (flat arrays). Pairs are an equi-join; fits are a map."""
-    v = patches.select(F.col("patch"), "values", "conf")
-    p = grid_neighbours(patches, "patch", "row", "col").join(v.select(F.col("patch").alias("a"), F.col("values").alias("va"), F.col("conf").alias("ca")), "a").join(v.select(F.col("patch").alias("b"), F.col("values").alias("vb"), F.col("conf").alias("cb")), "b")
-    kind = dict(patches.dtypes)["patch"]
+    ``patches``: scene, patch, row, col (grid steps), values and conf (flat arrays). Pairs are an equi-join within a
+    scene; fits are a map."""
+    side = lambda k: patches.select("scene", F.col("patch").alias(k), F.col("values").alias(f"v{k}"), F.col("conf").alias(f"c{k}"))
+    p = grid_neighbours(patches, "patch", "row", "col", ["scene"]).join(side("a"), ["scene", "a"]).join(side("b"), ["scene", "b"])
+    kind, scene = dict(patches.dtypes)["patch"], dict(patches.dtypes)["scene"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -68,10 +70,10 @@ def pair_planes(patches: DataFrame, size: int, stride: int) -> DataFrame:
                     continue
                 # in the canvas frame of patch a, so that planes of all pairs add up
                 plane = fit_plane(d[ok], (x[sa].ravel()[ok] + r["dc"] * 0) / size, y[sa].ravel()[ok] / size, c[ok])
-                rows.append((r["a"], r["b"], *plane, float(c[ok].sum())))
-            yield pd.DataFrame(rows, columns=["a", "b", "px", "py", "pc", "weight"])
+                rows.append((r["scene"], r["a"], r["b"], *plane, float(c[ok].sum())))
+            yield pd.DataFrame(rows, columns=["scene", "a", "b", "px", "py", "pc", "weight"])
 
-    return p.select("a", "b", "dr", "dc", "va", "vb", "ca", "cb").mapInPandas(run, f"a {kind}, b {kind}, px double, py double, pc double, weight double")
+    return p.select("scene", "a", "b", "dr", "dc", "va", "vb", "ca", "cb").mapInPandas(run, f"scene {scene}, a {kind}, b {kind}, px double, py double, pc double, weight double")
 
 
 def solve_offsets(planes: pd.DataFrame, ids: list, ridge: float = 1e-4) -> pd.DataFrame:
@@ -100,17 +102,31 @@ def solve_offsets(planes: pd.DataFrame, ids: list, ridge: float = 1e-4) -> pd.Da
     return pd.DataFrame({"patch": ids, "offset": x - x.mean()})
 
 
+def scene_offsets(patches: DataFrame, planes: DataFrame) -> DataFrame:
+    """``(scene, patch, offset)``: every scene solved by itself in one task; a patch without neighbours keeps zero."""
+
+    def solve(ids: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        got = solve_offsets(pairs, sorted(ids["patch"]))
+        return got.assign(scene=ids["scene"].iloc[0])[["scene", "patch", "offset"]]
+
+    kinds = dict(patches.dtypes)
+    return patches.select("scene", "patch").groupBy("scene").cogroup(planes.groupBy("scene")).applyInPandas(solve, f"scene {kinds['scene']}, patch {kinds['patch']}, offset double")
+
+
 def blend(patches: DataFrame, offsets: DataFrame, size: int, stride: int, power: float = 3.0, k: float = 3.0) -> DataFrame:
-    """``(y, x, blended, n)``: the mosaic's pixels, tapered and robust. Pixels are grouped by canvas place."""
+    """``(scene, y, x, blended, n)``: the mosaics' pixels, tapered and robust. Pixels are grouped by canvas place."""
     weight = taper(size, power).ravel().tolist()
-    p = patches.join(offsets, "patch").withColumn("w", F.array(*[F.lit(v) for v in weight])) if size <= 8 else patches.join(offsets, "patch").join(F.broadcast(patches.sparkSession.createDataFrame([(weight,)], "w array<double>")))
-    each = p.select("row", "col", "offset", F.posexplode(F.arrays_zip("values", "conf", "w")).alias("i", "v"))
-    each = each.select((F.col("row") * stride + F.floor(F.col("i") / size)).alias("y"), (F.col("col") * stride + F.col("i") % size).alias("x"), (F.col("v.values") + F.col("offset")).alias("value"), (F.col("v.conf") * F.col("v.w")).alias("weight"))
-    return robust_blend(each.where("weight > 0 and not isnan(value)"), ["y", "x"], "value", "weight", k)
+    p = patches.join(offsets, ["scene", "patch"])
+    p = p.withColumn("w", F.array(*[F.lit(v) for v in weight])) if size <= 8 else p.join(F.broadcast(patches.sparkSession.createDataFrame([(weight,)], "w array<double>")))
+    each = p.select("scene", "row", "col", "offset", F.posexplode(F.arrays_zip("values", "conf", "w")).alias("i", "v"))
+    each = each.select("scene", (F.col("row") * stride + F.floor(F.col("i") / size)).alias("y"), (F.col("col") * stride + F.col("i") % size).alias("x"), (F.col("v.values") + F.col("offset")).alias("value"), (F.col("v.conf") * F.col("v.w")).alias("weight"))
+    return robust_blend(each.where("weight > 0 and not isnan(value)"), ["scene", "y", "x"], "value", "weight", k)
 
 
 def reconstruct(patches: DataFrame, size: int, stride: int) -> DataFrame:
-    """The whole mosaic of one scene."""
-    planes = pair_planes(patches, size, stride).toPandas()
-    ids = [r[0] for r in patches.select("patch").orderBy("patch").collect()]
-    return blend(patches, patches.sparkSession.createDataFrame(solve_offsets(planes, ids), f"patch {dict(patches.dtypes)['patch']}, offset double"), size, stride)
+    """The whole mosaic of every scene. Patches without a column ``scene`` are one scene, and so is the result."""
+    one = "scene" not in patches.columns
+    p = patches.withColumn("scene", F.lit(0)) if one else patches
+    offsets = written(scene_offsets(p, pair_planes(p, size, stride)), "offsets")  # the blend reads them in each of its passes
+    got = blend(p, offsets, size, stride)
+    return got.drop("scene") if one else got

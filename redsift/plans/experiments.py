@@ -233,5 +233,7 @@ def tile_fill(spark, d):
 
 @query()
 def mosaic_reconstruction(spark, d):
-    grid = _images(spark, d).where("vec_id < 16").select(F.col("vec_id").alias("patch"), F.floor(F.col("vec_id") / 4).cast("int").alias("row"), (F.col("vec_id") % 4).cast("int").alias("col"), F.col("elevation").alias("values"), F.transform("elevation", lambda x: F.lit(1.0)).alias("conf"))
+    # every embedding is a tile: scenes of 4 x 4 tiles in the order of their ids
+    place = F.col("vec_id") % 16
+    grid = _images(spark, d).select(F.floor(F.col("vec_id") / 16).alias("scene"), F.col("vec_id").alias("patch"), F.floor(place / 4).cast("int").alias("row"), (place % 4).cast("int").alias("col"), F.col("elevation").alias("values"), F.transform("elevation", lambda x: F.lit(1.0)).alias("conf"))
     return reconstruct.reconstruct(grid, 8, 4)

@@ -144,6 +144,32 @@ def test_mosaic_offsets_are_recovered(spark):
     assert np.abs(d - d.mean()).max() < 0.05
 
 
+def test_every_embedding_is_in_a_mosaic(spark, data):
+    from redsift.plans.experiments import mosaic_reconstruction
+
+    ids = [r[0] for r in spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id").collect()]
+    want = {}
+    for i in ids:
+        r, c = i % 16 // 4, i % 4
+        for y in range(r * 4, r * 4 + 8):
+            for x in range(c * 4, c * 4 + 8):
+                want[i // 16, y, x] = want.get((i // 16, y, x), 0) + 1
+    got = mosaic_reconstruction(spark, data).collect()
+    assert len(ids) > 16 and {(r["scene"], r["y"], r["x"]): r["n"] for r in got} == want
+
+
+def test_scenes_are_solved_apart(spark):
+    rng = np.random.default_rng(3)
+    rows = [(s, r * 2 + c, r, c, (rng.normal(size=64) + 10.0 * s * (r + c)).tolist(), [1.0] * 64) for s in range(2) for r in range(2) for c in range(2)] + [(2, 0, 0, 0, rng.normal(size=64).tolist(), [1.0] * 64)]
+    df = spark.createDataFrame(rows, "scene int, patch long, row int, col int, values array<double>, conf array<double>")
+    got = {(r["scene"], r["y"], r["x"]): r["blended"] for r in reconstruct.reconstruct(df, 8, 4).collect()}
+    assert len(got) == 144 * 2 + 64
+    for s in range(3):
+        for r in reconstruct.reconstruct(df.where(F.col("scene") == s).drop("scene"), 8, 4).collect():
+            assert got[s, r["y"], r["x"]] == pytest.approx(r["blended"], abs=1e-9)
+    assert [got[2, i // 8, i % 8] for i in range(64)] == pytest.approx(rows[-1][4], abs=1e-9)
+
+
 def test_cache_keeps_good_rows(spark):
     m = spark.createDataFrame([("A", "x  y"), ("B", "z"), ("C", None)], "obs_id string, rationale_desc string")
 
