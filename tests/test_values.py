@@ -144,6 +144,42 @@ def test_mosaic_offsets_are_recovered(spark):
     assert np.abs(d - d.mean()).max() < 0.05
 
 
+def test_mosaic_tilts_are_recovered(spark):
+    y, x = np.meshgrid(np.linspace(-1, 1, 8), np.linspace(-1, 1, 8), indexing="ij")
+    truth = np.add.outer(np.arange(16.0) ** 2 / 10, np.sin(np.arange(16.0)))
+    tilt = np.random.default_rng(1).normal(size=(9, 3)) * 5
+    tilt -= tilt.mean(axis=0)
+    rows = [(r * 3 + c, r, c, (truth[r * 4 : r * 4 + 8, c * 4 : c * 4 + 8] + tilt[r * 3 + c, 0] * x + tilt[r * 3 + c, 1] * y + tilt[r * 3 + c, 2]).ravel().tolist(), [1.0] * 64) for r in range(3) for c in range(3)]
+    df = spark.createDataFrame(rows, "patch long, row int, col int, values array<double>, conf array<double>")
+    m = reconstruct.reconstruct(df, 8, 4).toPandas().pivot(index="y", columns="x", values="blended").to_numpy()
+    assert np.abs(m - truth).max() < 1e-4
+
+
+def test_plane_solve_is_the_least_squares_solution():
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    place = {r * 4 + c: (r, c) for r in range(3) for c in range(4)}
+    pairs_ = [(a, b, dr, dc, *rng.normal(size=3)) for a, (r, c) in place.items() for b, (s, t) in place.items() for dr, dc in ((0, 1), (1, -1), (1, 0), (1, 1)) if (s - r, t - c) == (dr, dc)]
+    got = reconstruct.solve_planes(pd.DataFrame(pairs_, columns=["a", "b", "dr", "dc", "px", "py", "pc"]), list(place), 8, 4)[["tilt_x", "tilt_y", "offset"]].to_numpy()
+    a, rhs = [], []
+    for i, j, dr, dc, *p in pairs_:
+        for k in range(3):
+            row = np.zeros((12, 3))
+            row[j, k], row[i, k] = 1, -1
+            if k == 2:
+                row[j, 0], row[j, 1] = -dc * 8 / 7, -dr * 8 / 7
+            a.append(row.ravel())
+            rhs.append(p[k])
+    for k in range(3):
+        row = np.zeros((12, 3))
+        row[:, k] = 100
+        a.append(row.ravel())
+        rhs.append(0.0)
+    a, rhs = np.vstack([*a, 1e-4 * np.eye(36)]), np.concatenate([rhs, np.zeros(36)])
+    assert np.abs(got.ravel() - np.linalg.lstsq(a, rhs, rcond=None)[0]).max() < 1e-6
+
+
 def test_every_embedding_is_in_a_mosaic(spark, data):
     from redsift.plans.experiments import mosaic_reconstruction
 
