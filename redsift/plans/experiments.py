@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redsift.functions.geo import normalize_longitude
@@ -33,13 +33,13 @@ p as (select a.variant, a.seed, a.tile, a.v - b.v as delta from t a join t b usi
 """
 
 
-def _tiles(spark: SparkSession, d: str) -> DataFrame:
+def _tiles(spark: SparkSession, d: str, tile: Column) -> DataFrame:
     li = table(spark, d, "lineitem")
-    return li.groupBy(F.col("l_returnflag").alias("variant"), (F.col("l_linenumber") % 3).alias("seed"), (F.col("l_partkey") % 400).alias("tile")).agg(F.avg("l_discount").alias("v"))
+    return li.groupBy(F.col("l_returnflag").alias("variant"), (F.col("l_linenumber") % 3).alias("seed"), tile.alias("tile")).agg(F.avg("l_discount").alias("v"))
 
 
-def _deltas(spark: SparkSession, d: str) -> DataFrame:
-    return experiments.paired(_tiles(spark, d), "variant", "N", ["seed", "tile"], "v").select("variant", "seed", "tile", "delta")
+def _deltas(spark: SparkSession, d: str, tile: Column | None = None) -> DataFrame:
+    return experiments.paired(_tiles(spark, d, F.col("l_partkey") % 400 if tile is None else tile), "variant", "N", ["seed", "tile"], "v").select("variant", "seed", "tile", "delta")
 
 
 @query("select r_name as variant, s as seed, [lower(r_name)] || ['steps=10'] as overrides from region, (select unnest([1, 2, 3]) as s)")
@@ -95,7 +95,7 @@ def fisher_combination(spark, d):
 
 @query()
 def hierarchical_bootstrap(spark, d):
-    return experiments.bootstrap(_deltas(spark, d), ["variant"], "seed", "delta", draws=1000)
+    return experiments.bootstrap(_deltas(spark, d, F.col("l_partkey")), ["variant"], "seed", "delta")
 
 
 @query("select o_orderstatus, o_orderkey, round(o_totalprice, 2) as o_totalprice from orders qualify row_number() over (partition by o_orderstatus order by o_totalprice, o_orderkey) = 1")

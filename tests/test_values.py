@@ -206,6 +206,27 @@ def test_scenes_are_solved_apart(spark):
     assert [got[2, i // 8, i % 8] for i in range(64)] == pytest.approx(rows[-1][4], abs=1e-9)
 
 
+def test_bootstrap_query_takes_every_part(spark, monkeypatch):
+    import inspect
+
+    from redsift.plans.experiments import hierarchical_bootstrap
+
+    folder, bootstrap, seen = "/root/testdata/sf0.01", experiments.bootstrap, {}
+
+    def spy(df, *args, **named):
+        call = inspect.signature(bootstrap).bind(df, *args, **named)
+        call.apply_defaults()
+        seen.update(call.arguments)
+        return bootstrap(df, *args, **named)
+
+    monkeypatch.setattr(experiments, "bootstrap", spy)
+    got = {r["variant"]: r for r in hierarchical_bootstrap(spark, folder).collect()}
+    keys = {tuple(r) for r in spark.read.parquet(f"{folder}/lineitem.parquet").selectExpr("l_returnflag", "l_linenumber % 3", "l_partkey").distinct().collect()}
+    assert seen["draws"] == 2000
+    assert seen["df"].count() == sum(v != "N" and ("N", s, t) in keys for v, s, t in keys)
+    assert set(got) == {"A", "R"} and all(r["lo"] < r["mean"] < r["hi"] for r in got.values())
+
+
 def test_cache_keeps_good_rows(spark):
     m = spark.createDataFrame([("A", "x  y"), ("B", "z"), ("C", None)], "obs_id string, rationale_desc string")
 
