@@ -185,8 +185,8 @@ def shard_leaks(texts: list[str | None], items: Items, share: float = SHARE) ->
     for a, b, total in zip(cuts, [*cuts[1:], len(key)], sums, strict=True):
         d, i = divmod(int(key[a]), len(items.ids))
         size = items.n(i)
-        # merged spans and the gaps between them can't reach the share from less than half of it
-        if total < share * size / 2:
+        # a match that another follows brings its own words and those of one gap at most, the last one its own only
+        if total + GAP * (b - a - 1) < share * size:
             continue
         here = text[begin[d] : (begin[d + 1] if d + 1 < len(begin) else len(text)) - 1]
         spans = list(zip(first[a:b].tolist(), length[a:b].tolist(), (pos[a:b] - begin[d]).tolist(), strict=True))

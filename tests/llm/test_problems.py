@@ -202,6 +202,28 @@ def test_token_sizes_of_long_texts(spark):
 # ---------------------------------------------------------------- leaks
 
 
+def test_gaps_may_add_more_than_the_matches():
+    import numpy as np
+
+    item = [f"w{i}" for i in range(68)]
+    gap = [0, 4, 7, 11]  # altered words of a gap of 12: eight are left, none four in a row
+    copy = item[:36]
+    for start in (4, 20):
+        for k in gap:
+            copy[start + k] = f"x{start + k}"
+    rest = [f"y{i}" for i in range(100)]
+    items = leakage.Items({7: item})
+    assert list(leakage.shard_leaks([" ".join(rest + copy + rest)], items)) == [(0, 0, 28)]  # 28 of 68 words, 12 of them matched
+
+    rng = np.random.default_rng(4)
+    docs = []
+    for n in range(300):
+        a = [w if rng.random() > (n % 10) / 15 else f"z{rng.integers(99)}" for w in item[: rng.integers(20, 69)]]
+        docs.append(" ".join(rest + a + rest))
+    every = [x for x in leakage.shard_leaks(docs, items, 0.0) if x[2] >= leakage.SHARE * 68]
+    assert every and list(leakage.shard_leaks(docs, items)) == every
+
+
 def test_leaks(spark):
     g = np.random.default_rng(5)
     items = [(i, "Read this and answer. " + " ".join(f"w{int(x)}" for x in g.integers(0, 4000, 60))) for i in range(30)]
