@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 
-SAMPLE = 16
+#: Of so many text positions one is kept; a walk to it is shorter than that.
+SAMPLE = 8
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
@@ -20,7 +21,8 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     rank = np.where(ends, np.cumsum(ends) - 1, text.astype(np.int64) + int(ends.sum()))
     step = 1
     while True:
-        key = rank * (n + 1)
+        # symbols may be more than positions: the base is above either
+        key = rank * (max(n, int(rank.max())) + 2)
         key[: n - step] += rank[step:] + 1
         order = np.argsort(key)
         key = key[order]
@@ -105,17 +107,17 @@ class FMIndex:
         return lo, hi
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
-        """Text positions of suffix rows: walk back to a sampled one."""
-        rows, steps = rows.astype(np.int64).copy(), np.zeros(len(rows), dtype=np.int64)
+        """Text positions of suffix rows: walk back to a sampled one, fewer than SAMPLE steps away."""
+        rows = rows.astype(np.int64).copy()
         out = np.empty(len(rows), dtype=np.int64)
         on = np.arange(len(rows))
-        while len(on):
+        for steps in range(SAMPLE):
             r = rows[on]
             hit = self.sampled[r + 1] > self.sampled[r]
-            done = on[hit]
-            out[done] = self.positions[self.sampled[rows[done]]] + steps[done]
+            out[on[hit]] = self.positions[self.sampled[r[hit]]] + steps
             on = on[~hit]
+            if not len(on):
+                return out
             c = self.tree.access(rows[on])
             rows[on] = self.first[c] + self.tree.rank(c, rows[on])
-            steps[on] += 1
-        return out
+        raise ValueError("the index is not that of its text")

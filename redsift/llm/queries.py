@@ -87,6 +87,11 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_documents"), share.alias("most"))
 
 
+def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    """What to remove from each leaking document: stretches of characters, those of all items merged."""
+    return leakage.removal_spans(_leaks(spark, d))
+
+
 #: The subjects of the problem; a document about none of them is general.
 SUBJECTS = ["impact", "slopes", "polar", "aeolian", "fluvial", "volcanic", "mineralogy", "tectonics", "landing", "calibration"]
 
@@ -99,7 +104,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return subjects.shares(p9_found(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_splits, p3_found, p3_terms, p4_found, p4_counts, p6_found, p6_shares, p7_packed, p7_fill, p8_found, p8_items, p9_found, p9_shares)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_splits, p3_found, p3_terms, p4_found, p4_counts, p6_found, p6_shares, p7_packed, p7_fill, p8_found, p8_items, p8_spans, p9_found, p9_shares)}
 
 _PLAIN = r"""nullif(trim(regexp_replace(upper({0}), '^\s*([A-Z]{{3}})[^A-Z0-9]*([0-9]{{6}})[^A-Z0-9]*([0-9]{{4}})([^A-Z0-9].*)?$', '\1_\2_\3')), '')"""
 

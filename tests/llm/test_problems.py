@@ -10,7 +10,7 @@ from oracle import differences
 
 from redsift.llm import cross_split, cut_text, group_splits, leakage, packing, queries, subjects, term_counts
 from redsift.llm.components import connected_components
-from redsift.llm.fm_index import FMIndex
+from redsift.llm.fm_index import FMIndex, suffix_order
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
@@ -21,8 +21,20 @@ def test_equals_sql(spark, data, name):
 # ---------------------------------------------------------------- index
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 5), st.sampled_from([2, 5, 60, 400, 4000]))
+def test_suffix_order_whatever_the_symbols(seed, docs, sigma):
+    g = np.random.default_rng(seed)
+    text = np.concatenate([np.append(g.integers(1, sigma, g.integers(0, 30)), 0) for _ in range(docs)]).astype(np.int64)
+    ends = np.cumsum(text == 0)
+    plain = sorted(range(len(text)), key=lambda i: [(0, int(ends[j])) if text[j] == 0 else (1, int(text[j])) for j in range(i, len(text))])
+    assert suffix_order(text).tolist() == plain
+    index = FMIndex(text, sigma)
+    assert index.locate(np.arange(len(text))).tolist() == plain
+
+
 @settings(max_examples=40, deadline=None)
-@given(st.integers(0, 10**6), st.integers(1, 6), st.integers(2, 6))
+@given(st.integers(0, 10**6), st.integers(1, 6), st.sampled_from([2, 4, 6, 900]))
 def test_index_finds_every_occurrence(seed, docs, sigma):
     g = np.random.default_rng(seed)
     text = np.concatenate([np.append(g.integers(1, sigma, g.integers(0, 40)), 0) for _ in range(docs)]).astype(np.int64)
@@ -203,17 +215,16 @@ def test_token_sizes_of_long_texts(spark):
 
 
 def test_gaps_may_add_more_than_the_matches():
-    import numpy as np
-
     item = [f"w{i}" for i in range(68)]
-    gap = [0, 4, 7, 11]  # altered words of a gap of 12: eight are left, none four in a row
+    gap = [0, 3, 6, 9, 11]  # altered words of a gap of 12: seven are left, none three in a row
     copy = item[:36]
     for start in (4, 20):
         for k in gap:
             copy[start + k] = f"x{start + k}"
     rest = [f"y{i}" for i in range(100)]
     items = leakage.Items({7: item})
-    assert list(leakage.shard_leaks([" ".join(rest + copy + rest)], items)) == [(0, 0, 28)]  # 28 of 68 words, 12 of them matched
+    ((d, i, n, pieces),) = leakage.shard_leaks([" ".join(rest + copy + rest)], items, 26 / 68)
+    assert (d, i, n) == (0, 0, 26) and pieces == [(100, 135)]  # 26 of 68 words, 12 of them matched
 
     rng = np.random.default_rng(4)
     docs = []
@@ -224,6 +235,45 @@ def test_gaps_may_add_more_than_the_matches():
     assert every and list(leakage.shard_leaks(docs, items)) == every
 
 
+@pytest.mark.parametrize("every", [2, 3, 4, 5, 9])
+def test_altered_words(every):
+    items = leakage.Items({0: [f"w{i}" for i in range(60)]})
+    text = " ".join("other" if i % every == every - 1 else f"w{i}" for i in range(60))
+    assert [x[:2] for x in leakage.shard_leaks([text], items)] == ([(0, 0)] if every > 3 else [])
+
+
+@pytest.mark.parametrize("n", [1, 3, 4, 40])
+def test_items_alike_are_all_found(n):
+    one = [f"w{i}" for i in range(50)]
+    texts = {i: one if i % 2 else [*one[:40], f"end{i}"] for i in range(n)} | {100 + i: [f"v{i}{k}" for k in range(9)] + ["in", "the", "end"] for i in range(9)}
+    assert ("in", "the", "end") in leakage.usual_phrases(texts)
+    got = list(leakage.shard_leaks(["x y " + " ".join(one) + " z in the end"], leakage.Items(texts)))
+    assert [x[1] for x in got] == list(range(n))
+
+
+def test_shards_do_not_matter(data):
+    import duckdb
+
+    docs = [r[0] for r in duckdb.sql(f"select text from '{data}/documents.parquet' order by doc_id").fetchall()]
+    rows = duckdb.sql(f"select item_id, text from '{data}/eval_items.parquet' order by 1").fetchall()
+    # of every tenth item a short document, far shorter than the items' vocabulary
+    docs += [t[len(t) // 4 :] for _, t in rows[::10]]
+    items = leakage.Items(leakage.item_words(rows))
+    want = list(leakage.shard_leaks(docs, items))
+    assert len(want) >= 24
+    for n in (1, 3, 10):
+        assert [(i + d, *x) for i in range(0, len(docs), n) for d, *x in leakage.shard_leaks(docs[i : i + n], items)] == want
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet="aB-\n >é\u0301ﬁ½\u00ad<x1_ ́", max_size=40))
+def test_words_lie_where_they_are(text):
+    at = leakage.words_at(text)
+    assert len(at) == len(leakage.words(text)) and all(0 <= a < b <= len(text) for a, b in at)
+    if text.isascii() and "<" not in text and "-" not in text:
+        assert [text[a:b].lower() for a, b in at] == leakage.words(text)
+
+
 def test_leaks(spark):
     g = np.random.default_rng(5)
     items = [(i, "Read this and answer. " + " ".join(f"w{int(x)}" for x in g.integers(0, 4000, 60))) for i in range(30)]
@@ -243,8 +293,13 @@ def test_leaks(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumnRenamed("doc_id", "k").repartition(3)
     it = spark.createDataFrame([*items, (99, None), (98, "")], "item_id long, text string")
     for block in (7, 2000):
-        got = {(r["doc_id"], r["item_id"]) for r in leakage.leaks(d, "k", "text", it, "item_id", "text", block=block).collect()}
-        assert got == want
+        rows = leakage.leaks(d, "k", "text", it, "item_id", "text", block=block)
+        assert {(r["doc_id"], r["item_id"]) for r in rows.collect()} == want
+        text = {k: t for k, t in docs}
+        cut = defaultdict(list)
+        for r in leakage.removal_spans(rows).collect():
+            cut[r["doc_id"]].append(text[r["doc_id"]][r["begin"] : r["end"]])
+        assert cut[3] == [" ".join(body[3])] and sorted(cut[104]) == sorted([" ".join(body[4][30:50]), " ".join(body[4][:15]).upper()])
     assert leakage.leaks(d.limit(0), "k", "text", it, "item_id", "text").count() == 0
     assert leakage.leaks(d, "k", "text", it.limit(0), "item_id", "text").count() == 0
 
