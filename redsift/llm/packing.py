@@ -20,33 +20,47 @@ CAPACITY = 2048
 PER_GROUP = 5000
 #: Fixed value: how this vocabulary cuts text before merging (the published pattern).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Longer texts are encoded in blocks of about this many characters, cut at a single space between other characters,
-#: where the pattern cuts anyhow; a run of so many characters without one is cut anywhere, which bounds its time.
+#: Longer texts are encoded in blocks of at least so many characters, cut only where the pattern cuts whatever stands
+#: around; without such a place the rest is encoded in one piece.
 BLOCK = 20_000
-SPACE = re.compile(r"(?<=\S) (?=\S)")
+CUT = re.compile(r"(?<=\S)(?=[ \n])|(?<=[A-Za-z])(?=[0-9!-/:-@\[-`{-~])|(?<=[0-9])(?=[A-Za-z!-/:-@\[-`{-~])")
+#: A run of white space of so many characters is taken out of the pattern, which goes back over it step by step.
+RUN = 100_000
+_SPACE = "[\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
-def token_counter(path: str = TOKENIZER):
-    """A function from text to its number of tokens; the vocabulary is read once per Python worker."""
+def token_counter(path: str = TOKENIZER, block: int = BLOCK, run: int = RUN):
+    """A function from text to its number of tokens; the vocabulary is read once per Python worker.
+
+    The number is that of the whole text at once, whatever its length and wherever it is cut.
+    """
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     coder = tiktoken.Encoding("sizes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    space = re.compile(f"{_SPACE}{{{run}}}{_SPACE}*")
+
+    def part(text: str, at: int, end: int) -> int:
+        n = 0
+        while at < end:
+            cut = CUT.search(text, at + block, end) if at + block < end else None
+            to = cut.start() if cut else end
+            n += len(coder.encode_ordinary(text[at:to]))
+            at = to
+        return n
 
     def count(text: str | None) -> int:
         if not text:
             return 0
-        if len(text) <= BLOCK:
-            return len(coder.encode_ordinary(text))
         n, at = 0, 0
-        while at < len(text):
-            end = at + BLOCK
-            if end < len(text) and (space := SPACE.search(text, end, end + BLOCK)):
-                end = space.start()
-            n += len(coder.encode_ordinary(text[at:end]))
-            at = end
-        return n
+        if len(text) >= run:
+            for m in space.finditer(text):
+                # the pattern takes the run but for its last character, which opens what follows
+                to = m.end() if m.end() == len(text) else m.end() - 1
+                n += part(text, at, m.start()) + len(coder._encode_single_piece(text[m.start() : to]))
+                at = to
+        return n + part(text, at, len(text))
 
     return count
 

@@ -202,13 +202,25 @@ def test_packing_places_every_token(spark):
     assert packing.packed(df.limit(0)).count() == 0
 
 
-def test_token_sizes_of_long_texts(spark):
-    import tiktoken  # noqa: F401
+@pytest.fixture(scope="module")
+def counters():
+    return packing.token_counter(block=10**9, run=10**9), packing.token_counter(block=5, run=4)
 
-    count = packing.token_counter()
-    text = "Layered bedrock at 12.5 degrees, again and again. " * 2000
-    assert count(text) == pytest.approx(count(text[:1000]) * len(text) / 1000, rel=0.01)
-    assert count(None) == count("") == 0 and count("a" * 100_000) > 0
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["a", "Zé", "the", "'s", "'", "12", "!", "?!", " ", "  ", "\n", "\n\n", "\t", "\x85", "\x1c", "\xa0", "     ", "東京", "½", "_", "'ll", "-"]), max_size=40))
+def test_sizes_do_not_depend_on_blocks(counters, parts):
+    whole, blocks = counters
+    assert blocks("".join(parts)) == whole("".join(parts))
+
+
+def test_token_sizes_of_long_texts(counters):
+    count, whole = packing.token_counter(), counters[0]
+    for one in ("Layered bedrock at 12.5 degrees, again and again. ", "no\nsingle\nspaces\n", "two  spaces  each  ", "abcdefghij", "!", "x" * 30_000 + "1"):
+        text = one * (90_000 // len(one))
+        assert count(text) == whole(text)
+    assert count("a" + " " * 2_000_000 + "b") == count("a") + count(" b") + count(" " * 1_999_999)
+    assert count(None) == count("") == 0 and count("\n" * 1_500_000) > 0
 
 
 # ---------------------------------------------------------------- leaks
