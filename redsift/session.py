@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -24,36 +25,62 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "redsif
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where that is unset (tests), one of our own."""
+    """The folder named by ``spark.checkpoint.dir``. Where it is unset, one of our own on a local master (tests); on a
+    cluster a folder of one machine would not do, so there it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="redsift-")
         spark.conf.set("spark.checkpoint.dir", named)
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; deleted when the driver's Python ends, if Spark still runs then."""
+    path = f"{shared_dir(spark)}/redsift/{spark.sparkContext.applicationId}"
+    if path not in _OWN:
+        _OWN.add(path)
+        atexit.register(cleaned, spark, path)
+    return path
+
+
+_OWN: set[str] = set()
+
+
+def cleaned(spark: SparkSession, path: str | None = None) -> None:
+    """Delete all tables of this application in the shared folder, once no result that reads them is needed."""
+    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        deleted(spark, path or own_dir(spark))
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def shared_path(spark: SparkSession, what: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/redsift/{what}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, what: str, **options: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder as a table and read it back.
 
-    The table outlives the executor that wrote it, so a lost executor costs its running tasks only.
+    The table outlives the executor that wrote it, so a lost executor costs its running tasks only. Operators delete
+    with :func:`dropped` what nothing reads any more; what a returned plan still reads goes with the application.
     """
     path = shared_path(df.sparkSession, what)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`written` that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    for f in {p.rsplit("/", 1)[0] for p in df.inputFiles() if "/redsift/" in p}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def dropped(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete the files of tables made by :func:`written` that no later plan reads."""
+    for df in tables:
+        for f in {p.rsplit("/", 1)[0] for p in df.inputFiles() if "/redsift/" in p}:
+            deleted(spark, f)
 
 
 def parallelism(spark: SparkSession) -> int:
