@@ -27,8 +27,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
         parents = hooked.groupBy("node").agg(F.min("p").alias("p"), F.max("old").alias("old"))
         before, parents = state, written(parents, "parents")
         state = _grandparents(parents, parents)
-        dropped(edges.sparkSession, before)
-        dropped(edges.sparkSession, parents)
+        dropped(edges.sparkSession, before, parents)
     dropped(edges.sparkSession, both)
     return state.select("node", F.col("g").alias("label"))
 

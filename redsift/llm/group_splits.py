@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,11 +11,13 @@ from redsift.llm.components import connected_components
 from redsift.operators.latest import latest
 from redsift.session import written
 
-#: A subset-sum bitset has at most this many bits (8 MB); sums beyond are taken greedily first.
-MAX_BITS = 1 << 26
+#: A subset-sum bitset aims at sums of at most this many bits (with the pieces that reached them 20 MB); what a target has
+#: beyond is first taken by the largest sizes, the rest of it is exact.
+MAX_BITS = 1 << 22
 #: Groups above this share of a split's rows are not used to fill it (they would be all of it).
 LARGEST = 0.5
-BUCKETS = 1024
+#: Groups of a size are ranked in buckets of about so many.
+PER_BUCKET = 50_000
 
 
 def centre_key(lon: str, lat: str) -> list[Column]:
@@ -43,13 +46,19 @@ def record_groups(patches: DataFrame, pid: str, obs: str, lon: str, lat: str) ->
     """
     labels = linked(patches, obs, lon, lat)
     p = patches.select(F.col(pid).alias("patch_id"), plain_obs_id(obs).alias("obs"), *centre_key(lon, lat))
-    named = p.where("obs is not null").join(labels, "obs", "left").select("patch_id", F.coalesce("label", "obs").alias("group_id"))
+    # an observation of a thousandth of all rows or more (a thousand of them at most) is joined by broadcast
+    n = patches.count()
+    hot = p.where("obs is not null").groupBy("obs").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(2, n // 1000)).select("obs")
+    hot = F.broadcast(hot.join(labels, "obs", "left").select("obs", F.coalesce("label", "obs").alias("hot_id")))
+    met = p.where("obs is not null").join(hot, "obs", "left")
+    named = met.where("hot_id is not null").select("patch_id", F.col("hot_id").alias("group_id"))
+    named = named.unionByName(met.where("hot_id is null").join(labels, "obs", "left").select("patch_id", F.coalesce("label", "obs").alias("group_id")))
     bare = p.where("obs is null")
     hubs = p.where("obs is not null and kx is not null").join(bare.where("kx is not null").select("kx", "ky").distinct(), ["kx", "ky"], "left_semi")
     hubs = hubs.groupBy("kx", "ky").agg(F.min("obs").alias("obs")).join(labels, "obs", "left").select("kx", "ky", F.coalesce("label", "obs").alias("hub"))
-    own = F.when(F.col("kx").isNotNull(), F.concat_ws(":", F.lit("centre"), "kx", "ky")).otherwise(F.concat_ws(":", F.lit("patch"), "patch_id"))
-    rest = bare.join(hubs, ["kx", "ky"], "left").select("patch_id", F.coalesce("hub", own).alias("group_id"))
-    return named.unionByName(rest)
+    rest = bare.where("kx is not null").join(hubs, ["kx", "ky"], "left").select("patch_id", F.coalesce("hub", F.concat_ws(":", F.lit("centre"), "kx", "ky")).alias("group_id"))
+    alone = bare.where("kx is null").select("patch_id", F.concat_ws(":", F.lit("patch"), "patch_id").alias("group_id"))
+    return named.unionByName(rest).unionByName(alone)
 
 
 def choose(sizes: dict[int, int], target: int, max_bits: int = MAX_BITS) -> dict[int, int]:
@@ -69,7 +78,7 @@ def choose(sizes: dict[int, int], target: int, max_bits: int = MAX_BITS) -> dict
             left[s] -= n
     rest = target - sum(k * n for k, n in taken.items())
     usable = {s: n for s, n in left.items() if n and s <= 2 * max(rest, 1)}
-    limit = rest + max(usable, default=0)
+    limit = min(rest + max(usable, default=0), 2 * rest)  # no sum is farther from the target than none at all
     mask = (1 << (limit + 1)) - 1
     pieces: list[tuple[int, int]] = []
     for s, n in sorted(usable.items()):
@@ -77,18 +86,31 @@ def choose(sizes: dict[int, int], target: int, max_bits: int = MAX_BITS) -> dict
         while n > 0:
             pieces.append((s, min(k, n)))
             n, k = n - k, 2 * k
-    reach = [1]
-    for s, k in pieces:
-        reach.append((reach[-1] | (reach[-1] << (s * k))) & mask)
-        if s == 1 and k * s > rest:
+    # one bitset, and for each sum the first piece that reached it: what remains without it was reached before
+    reach, first = 1, np.zeros(limit + 1, dtype=np.uint16 if len(pieces) < 1 << 16 else np.uint32)
+    for i, (s, k) in enumerate(pieces):
+        new = (reach << (s * k)) & mask & ~reach
+        if new:
+            octets = np.frombuffer(new.to_bytes(limit // 8 + 1, "little"), dtype=np.uint8)
+            at = np.flatnonzero(octets)
+            for j in range(0, len(at), 1 << 20):  # bits of a stretch at a time
+                some = at[j : j + (1 << 20)]
+                row, bit = np.nonzero(np.unpackbits(octets[some, None], axis=1, bitorder="little"))
+                first[some[row] * 8 + bit] = i
+            reach |= new
+        if reach >> rest & 1:
             break
-    pieces = pieces[: len(reach) - 1]
-    best = next(t for d in range(limit + 1) for t in (rest - d, rest + d) if 0 <= t <= limit and reach[-1] >> t & 1)
-    for i in range(len(pieces) - 1, -1, -1):
-        s, k = pieces[i]
-        if not reach[i] >> best & 1:
-            best -= s * k
-            taken[s] = taken.get(s, 0) + k
+    if reach >> rest & 1:
+        best = rest
+    else:
+        below = (reach & ((1 << (rest + 1)) - 1)).bit_length() - 1
+        above = reach >> (rest + 1)
+        up = rest + (above & -above).bit_length() if above else 3 * rest + 1
+        best = below if rest - below <= up - rest else up
+    while best > 0:
+        s, k = pieces[int(first[best])]
+        best -= s * k
+        taken[s] = taken.get(s, 0) + k
     return taken
 
 
@@ -100,11 +122,12 @@ def grouped_split(groups: DataFrame, shares: tuple[float, float, float] = (0.8,
     takes the rest. Which groups of a size go where depends on a hash of the group id only.
     """
     groups = written(groups, "groups")
-    sized = groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
-    sized = written(sized.withColumn("bucket", F.pmod(F.xxhash64("group_id"), F.lit(BUCKETS)).cast("int")), "sizes")
+    sized = written(groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")), "sizes")
     # group sizes that differ are fewer than the root of twice the number of records: a bounded collect
     classes = {r["n"]: r["k"] for r in sized.groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()}
     total = sum(n * k for n, k in classes.items())
+    buckets = 1 + sum(classes.values()) // PER_BUCKET
+    sized = sized.withColumn("bucket", F.pmod(F.xxhash64("group_id"), F.lit(buckets)).cast("int"))
     left, plan = dict(classes), {"test": {}, "val": {}}
     for name, share in (("test", shares[2]), ("val", shares[1])):
         target = round(total * share)
