@@ -38,8 +38,8 @@ LENIENT = ("emission_angle", "min_latitude", "max_latitude", "min_longitude", "m
 CORRUPT = "_corrupt_line"
 WHOLE = r"^\+?0*[0-9]{1,6}$"
 DECIMAL = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
-#: The CSV reader allocates this many columns. A line with more commas skips it: it is judged from its raw text as any
-#: other, and should it be loadable (a quoted field holds the commas), its unjudged fields are null.
+#: The CSV reader allocates this many columns. A line with more commas (in quoted fields, if it is loadable) skips it:
+#: its fields are taken from the raw text.
 MAX_COMMAS = 1_000_000
 
 
@@ -52,15 +52,20 @@ def _outside(parts: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.lit("")).otherwise(p)), '"')
 
 
-def _field(parts: Column, k: int) -> Column:
-    """Field ``k`` (from 1) of a well-quoted line: unquoted, ``""`` undone, stripped."""
+def _raw_fields(parts: Column) -> Column:
+    """The fields of a well-quoted line as they stand, a comma inside quotes as U+0001."""
     masked = F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.translate(p, ",", "\u0001")).otherwise(p)), '"')
-    raw = _strip(F.try_element_at(F.split(masked, ",", -1), F.lit(k)))
+    return F.split(masked, ",", -1)
+
+
+def _value(raw: Column) -> Column:
+    """A raw field unquoted, ``""`` undone, stripped."""
+    raw = _strip(raw)
     bare = F.when(raw.startswith('"') & raw.endswith('"'), F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
     return _strip(F.translate(F.replace(bare, F.lit('""'), F.lit('"')), "\u0001", ","))
 
 
-def classified(lines: DataFrame, line: str = "line", schema: T.StructType = TAB_SCHEMA) -> DataFrame:
+def classified(lines: DataFrame, line: str = "line", schema: T.StructType = TAB_SCHEMA, max_commas: int = MAX_COMMAS) -> DataFrame:
     """``lines`` with the struct ``_row`` (permissive read) and ``_reason`` (null: loadable).
 
     Reasons, the first that applies: ``quoting`` (a quote never closed, text after a closing quote, a quote in a bare
@@ -68,16 +73,16 @@ def classified(lines: DataFrame, line: str = "line", schema: T.StructType = TAB_
     whole number 0..999999 in ASCII digits, one leading ``+`` and leading zeros allowed), ``incidence_angle`` (no finite
     decimal 0..180 in ASCII). Other fields are not judged. White space around fields and inside a quoted number means
     nothing. Repeated lines are each judged. Columns of ``lines`` are kept; none may be named ``_row``, ``_taken``,
-    ``_reason``, ``_orbit_number`` or ``_incidence_angle``.
+    ``_reason``, ``_raw``, ``_orbit_number`` or ``_incidence_angle``. ``_raw``: fields of a line that the reader skipped.
     """
     names = [f.name for f in schema.fields]
     permissive = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     options = {
         "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "quote": '"', "escape": '"', "lineSep": "\u0002",
-        "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "maxColumns": str(MAX_COMMAS + 2),
+        "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "maxColumns": str(max_commas + 2),
     }
     text = F.coalesce(F.col(line), F.lit(""))
-    readable = F.length(text) - F.length(F.replace(text, F.lit(","), F.lit(""))) <= MAX_COMMAS
+    readable = F.length(text) - F.length(F.replace(text, F.lit(","), F.lit(""))) <= max_commas
     out = lines.withColumn("_row", F.from_csv(F.when(readable, _strip(text)), permissive.simpleString(), options))
     # the reader took it, and it is of the plain form in which reader and format agree
     row = F.col("_row")
@@ -88,7 +93,7 @@ def classified(lines: DataFrame, line: str = "line", schema: T.StructType = TAB_
     o = _outside(parts)
     quoting = (F.size(parts) % 2 == 0) | o.rlike(r'(?U)[^",\s]\s*"|"\s*[^",\s]|"\s+"')
     count = F.length(o) - F.length(F.replace(o, F.lit(","), F.lit(""))) + 1
-    exact = {n: _field(parts, names.index(n) + 1) for n in ("orbit_number", "incidence_angle")}
+    exact = {n: _value(F.try_element_at(_raw_fields(parts), F.lit(names.index(n) + 1))) for n in ("orbit_number", "incidence_angle")}
     angle = F.when(exact["incidence_angle"].rlike(DECIMAL), exact["incidence_angle"].try_cast("double"))
     reason = (
         F.when(F.col("_taken"), F.lit(None).cast("string"))
@@ -99,7 +104,8 @@ def classified(lines: DataFrame, line: str = "line", schema: T.StructType = TAB_
     )
     orbit = F.when(F.col("_taken"), row["orbit_number"]).otherwise(exact["orbit_number"].try_cast("int"))
     incidence = F.when(F.col("_taken"), row["incidence_angle"]).otherwise(angle)
-    return out.select("*", reason.alias("_reason"), orbit.alias("_orbit_number"), incidence.alias("_incidence_angle")).drop("_taken")
+    out = out.select("*", reason.alias("_reason"), orbit.alias("_orbit_number"), incidence.alias("_incidence_angle")).drop("_taken")
+    return out.withColumn("_raw", F.when(~readable & F.col("_reason").isNull(), _raw_fields(parts)))
 
 
 def _plain_form(names: list[str]) -> str:
@@ -119,23 +125,22 @@ def rejected(lines: DataFrame, line: str = "line", schema: T.StructType = TAB_SC
     return got.select(*keep, F.col("_reason").alias("reason"))
 
 
-def loaded(lines: DataFrame, line: str = "line", schema: T.StructType = TAB_SCHEMA) -> DataFrame:
+def loaded(lines: DataFrame, line: str = "line", schema: T.StructType = TAB_SCHEMA, max_commas: int = MAX_COMMAS) -> DataFrame:
     """Loadable lines as typed rows: the columns of ``lines`` but the text, then those of the schema.
 
     A column of ``lines`` that is named like a field of the schema gets the prefix ``line_``. Strings are stripped, as
     white space around fields means nothing; blank strings stay blank.
     """
     names = [f.name for f in schema.fields]
-    got = classified(lines, line, schema).where(F.col("_reason").isNull())
+    got = classified(lines, line, schema, max_commas).where(F.col("_reason").isNull())
     keep = [F.col(f"`{c}`").alias(f"line_{c}" if c in names else c) for c in lines.columns if c != line]
     fields = []
-    for f in schema.fields:
+    for k, f in enumerate(schema.fields):
         if f.name in ("orbit_number", "incidence_angle"):
             c = F.col(f"_{f.name}")
-        elif f.name in LENIENT:
-            c = F.expr(f"try_cast(trim(_row.`{f.name}`) as double)")
         else:
-            c = _strip(F.col(f"_row.`{f.name}`")) if isinstance(f.dataType, T.StringType) else F.col(f"_row.`{f.name}`")
+            c = F.when(F.col("_raw").isNotNull(), _value(F.col("_raw")[k])).otherwise(_strip(F.col(f"_row.`{f.name}`").cast("string")))
+            c = c.try_cast("double") if f.name in LENIENT else c.try_cast(f.dataType)
         fields.append(c.alias(f.name))
     return got.select(*keep, *fields)
 

@@ -57,7 +57,12 @@ r as (select line_id, delivery, case when not ok then 'quoting' when n <> 16 the
   when not coalesce(try_cast(fields[10] as double) between 0 and 180, false) then 'incidence_angle' end as reason, fields from f)
 """.replace("%(f)s", _FIELD)
 
+_TEXTS = ["volume_id", "file_name_specification", "observation_id", "product_id", "target_name", "", "mission_phase_name", "rationale_desc", "start_time", "", "", "", "", "", "", "stereo_flag"]
+_NUMBERS = {"emission_angle": 11, "min_latitude": 12, "max_latitude": 13, "min_longitude": 14, "max_longitude": 15}
+_FIELDS = ", ".join([f"fields[{k}] as {n}" for k, n in enumerate(_TEXTS, 1) if n] + [f"try_cast(fields[{k}] as double) as {n}" for n, k in _NUMBERS.items()])
+
 SQL: dict[str, str] = {
+    "p1_loaded": _SPLIT + f"select r.line_id, r.delivery, received_at, try_cast(fields[6] as int) as orbit_number, try_cast(fields[10] as double) as incidence_angle, {_FIELDS} from r join tab_records using (line_id) where reason is null",
     "p1_found": _SPLIT + "select distinct line_id, reason from r where reason is not null",
     "p1_reasons": _SPLIT + "select delivery, coalesce(reason, 'loaded') as reason, count(*) as n_lines from r group by 1, 2",
     "p5_found": f"""

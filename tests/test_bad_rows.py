@@ -101,3 +101,11 @@ def test_nulls_repeats_clashes_empty(spark):
     assert len(got) == 2 and got[0]["line_product_id"] == "k" and got[0]["product_id"] == "ESP_1_RED"
     assert {tuple(r) for r in reason_counts(df, "product_id").collect()} == {("k", "loaded", 2), (None, "columns", 1)}
     assert rejected(df.limit(0)).count() == 0 and loaded(df.limit(0)).count() == 0
+
+
+def test_lines_that_the_reader_skips_keep_all_fields(spark):
+    lines = [*CASES, GOOD.replace('"X"', '" a,b,, ""c"" "'), GOOD.replace("1,2,3", " +1.5 ,,abc")]
+    df = spark.createDataFrame(list(enumerate(lines)), "line_id long, line string")
+    want = {r["line_id"]: r for r in loaded(df).collect()}
+    assert {r["line_id"]: r for r in loaded(df, max_commas=3).collect()} == want
+    assert want[len(CASES)]["mission_phase_name"] == 'a,b,, "c"' and want[len(CASES) + 1]["emission_angle"] == 1.5
