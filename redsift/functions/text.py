@@ -5,11 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words without meaning of their own in targeting statements.
-STOPWORDS = (
-    "and or in the of a an on at to with for from by near into around between as is are be this that these those its it no "
-    "site area region location feature features terrain possible candidate small large long monitoring monitor survey sample"
-).split()
+from redsift.fixed import STOPWORDS
+
 #: Fixed value: a science token, hyphenated words whole.
 SCIENCE = r"([a-z][a-z\-]+[a-z]|[a-z])"
 #: Fixed value: a vocabulary word.
@@ -52,7 +49,7 @@ def word_tokens(c: Column | str) -> Column:
 def science_tokens(c: Column | str) -> Column:
     """Lower-case tokens of three letters or more that are no stop words."""
     every = F.regexp_extract_all(F.lower(_c(c)), F.lit(SCIENCE), F.lit(1))
-    return F.filter(every, lambda t: (F.length(t) > 2) & ~t.isin(STOPWORDS))
+    return F.filter(every, lambda t: (F.length(t) > 2) & ~t.isin(list(STOPWORDS)))
 
 
 def bigrams(tokens: Column) -> Column:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from redsift.operators.ranks import cumulative, percentiles, same
+
 
 def runs(spark, variants: list[tuple[str, list[str]]], seeds: list[int], common: list[str]) -> DataFrame:
     """Every variant with every seed; overrides of the variant, then the common ones."""
@@ -18,7 +21,10 @@ def runs(spark, variants: list[tuple[str, list[str]]], seeds: list[int], common:
 
 def long_results(df: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
     long = df.unpivot(by, metrics, "metric", "v")
-    return long.groupBy(*by, "metric").agg(F.avg("v").alias("mean"), F.median("v").alias("median"), F.count("v").alias("n"))
+    keys = [*by, "metric"]
+    got = long.groupBy(*keys).agg(F.avg("v").alias("mean"), F.count("v").alias("n"))
+    mid = percentiles(long, keys, "v", [0.5])
+    return got.alias("l").join(mid.alias("r"), same("l", "r", keys), "left").select(*[f"l.{k}" for k in keys], "mean", F.col("percentiles")[0].alias("median"), "l.n")
 
 
 def paired(df: DataFrame, variant: str, baseline: str, keys: list[str], value: str) -> DataFrame:
@@ -71,11 +77,24 @@ def t_sf2(t: float, df: float) -> float:
 
 def chi2_sf_even(x: float, k: int) -> float:
     """Upper tail of chi-square with 2k degrees of freedom: a finite sum."""
-    term = total = math.exp(-x / 2)
-    for i in range(1, k):
-        term *= x / 2 / i
-        total += term
-    return min(1.0, total)
+    if k < 1 or math.isnan(x):
+        return float("nan")
+    half, total = x / 2, 0.0
+    if half <= 0:
+        return 1.0
+    # terms are taken from their logarithms, block by block around the greatest, so that none of any k under- or overflows
+    top = min(k - 1, int(half))
+    peak = top * math.log(half) - math.lgamma(top + 1)
+    reach = int(40 * math.sqrt(half + 1)) + 100
+    i = np.arange(max(0, top - reach), min(k, top + reach), dtype=np.float64)
+    logs = i * math.log(half) - _log_factorial(i) - peak
+    total = math.log(float(np.exp(logs).sum())) + peak - half
+    return min(1.0, math.exp(total))
+
+
+def _log_factorial(i: np.ndarray) -> np.ndarray:
+    """log i! of consecutive whole numbers."""
+    return math.lgamma(i[0] + 1) + np.concatenate([[0.0], np.cumsum(np.log(i[1:]))])
 
 
 def ttest(df: DataFrame, by: list[str], delta: str) -> DataFrame:
@@ -105,33 +124,48 @@ def wilcoxon(values: np.ndarray) -> tuple[float, float]:
     plus = float(ranks[d > 0].sum())
     w = min(plus, n * (n + 1) / 2 - plus)
     if n <= 25 and len(count) == n:
-        ways = np.zeros(n * (n + 1) // 2 + 1)
-        ways[0] = 1
-        for r in range(1, n + 1):
-            ways[r:] = ways[r:] + ways[:-r]
-        return w, min(1.0, 2 * float(ways[: int(w) + 1].sum()) / 2.0**n)
+        return w, min(1.0, 2 * float(_ways(n)[int(w)]) / 2.0**n)
     var = n * (n + 1) * (2 * n + 1) / 24 - float((count**3 - count).sum()) / 48
     z = (w - n * (n + 1) / 4) / math.sqrt(var) if var > 0 else math.nan
     return w, math.erfc(abs(z) / math.sqrt(2))
 
 
-def wilcoxon_test(df: DataFrame, by: list[str], delta: str, least: int = 10) -> DataFrame:
-    """Signed-rank test per group by distributed ranks: equal absolute differences are counted, ranks follow from a
-    running sum over distinct values, so no group is gathered. Normal approximation; fewer than ``least`` rows: null."""
-    d = df.where(F.col(delta).isNotNull() & (F.col(delta) != 0)).groupBy(*by, F.abs(delta).alias("a")).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col(delta) > 0).alias("up"))
-    w = Window.partitionBy(*by).orderBy("a").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn("cum", F.sum("c").over(w)).withColumn("rank", F.col("cum") - F.col("c") + (F.col("c") + 1) / 2)
+@lru_cache(maxsize=32)
+def _ways(n: int) -> np.ndarray:
+    """How many of the subsets of the ranks 1..n have each sum, cumulated."""
+    ways = np.zeros(n * (n + 1) // 2 + 1)
+    ways[0] = 1
+    for r in range(1, n + 1):
+        ways[r:] = ways[r:] + ways[:-r]
+    return np.cumsum(ways)
+
+
+def wilcoxon_test(df: DataFrame, by: list[str], delta: str, least: int = 10, exact: int = 25) -> DataFrame:
+    """``(by, n, w, p)``: signed-rank test of the non-zero differences of each group, by distributed ranks.
+
+    Equal absolute differences are counted and ranked over range partitions, so no group is gathered. Up to ``exact``
+    differences without ties p is exact, else by normal approximation; fewer than ``least`` differences: null.
+    """
+    d = df.where(F.col(delta).isNotNull() & (F.col(delta) != 0) & ~F.isnan(delta)).groupBy(*by, F.abs(delta).alias("a")).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col(delta) > 0).alias("up"))
+    d = cumulative(d, by, "a", "c").withColumn("rank", F.col("cum") - F.col("c") + (F.col("c") + 1) / 2)
     g = d.groupBy(*by).agg(F.sum("c").alias("n"), F.sum(F.col("up") * F.col("rank")).alias("plus"), F.sum(F.pow(F.col("c").cast("double"), 3) - F.col("c")).alias("ties"))
     n = F.col("n").cast("double")
     stat = F.least(F.col("plus"), n * (n + 1) / 2 - F.col("plus"))
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
-    g = g.withColumn("w", stat).withColumn("z", F.when((n >= least) & (var > 0), (stat - n * (n + 1) / 4) / F.sqrt(var)))
+    g = g.withColumn("w", stat).withColumn("z", F.when(var > 0, (stat - n * (n + 1) / 4) / F.sqrt(var)))
 
     @F.pandas_udf("double")
-    def tail(z: pd.Series) -> pd.Series:
-        return z.map(lambda x: None if pd.isna(x) else math.erfc(abs(x) / math.sqrt(2))).astype("float64")
+    def tail(z: pd.Series, n: pd.Series, w: pd.Series, ties: pd.Series) -> pd.Series:
+        def p(z: float, n: float, w: float, ties: float) -> float | None:
+            if n < least or pd.isna(z):
+                return None
+            if n <= exact and not ties:
+                return min(1.0, 2 * float(_ways(int(n))[int(w)]) / 2.0**n)
+            return math.erfc(abs(z) / math.sqrt(2))
+
+        return pd.Series([p(*x) for x in zip(z, n, w, ties, strict=True)], dtype="float64")
 
-    return g.select(*by, "n", "w", tail("z").alias("p"))
+    return g.select(*by, "n", "w", tail("z", n, "w", "ties").alias("p"))
 
 
 def fisher(df: DataFrame, by: list[str], p: str) -> DataFrame:

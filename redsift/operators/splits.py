@@ -19,8 +19,8 @@ def split_counts(n: int, train: float, val: float, test: float) -> tuple[int, in
 
 
 def seeded_order(key: str, seed: int) -> list[Column]:
-    """A reproducible random order: hash of id and seed, then the id."""
-    return [F.xxhash64(F.lit(seed), F.col(key)), F.col(key)]
+    """A reproducible random order that any engine can repeat: MD5 of ``seed:id``, then the id."""
+    return [F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))), F.col(key)]
 
 
 def ranked(df: DataFrame, order: list[Column], rank: str = "_r") -> DataFrame:
@@ -61,15 +61,11 @@ def kfold_split(df: DataFrame, key: str, order: list[Column], folds: int, fold:
     got = ranked(df, order).withColumn("fold", _fold(F.col("_r"), n, folds)).drop("_r")
     rest = got.where(F.col("fold") != fold)
     n_val = max(1, round(rest.count() * val))
-    chosen = rest.select(F.col(key).alias("_v"), F.lit(True).alias("_is")).orderBy(*seeded_order_of("_v", seed + fold)).limit(n_val)
+    chosen = rest.select(F.col(key).alias("_v"), F.lit(True).alias("_is")).orderBy(*seeded_order("_v", seed + fold)).limit(n_val)
     split = F.when(F.col("fold") == fold, "test").when(F.col("_is"), "val").otherwise("train")
     return got.join(chosen, F.col(key) == F.col("_v"), "left").withColumn("split", split).drop("_v", "_is")
 
 
-def seeded_order_of(key: str, seed: int) -> list[Column]:
-    return [F.xxhash64(F.lit(seed), F.col(key)), F.col(key)]
-
-
 def split_manifest(patches: DataFrame, seed: int = 0, train: float = 0.7, val: float = 0.15, test: float = 0.15, folds: int = 5) -> DataFrame:
     """``(patch_id, patch_index, holdout_split, fold, is_test)``: seeded holdout, folds over what is not test (null there)."""
     n = patches.count()
@@ -123,7 +119,7 @@ def block_split(df: DataFrame, order: list[Column], test: float = 0.2, seed: int
     """Equal blocks along ``order``; a seeded choice of whole blocks is test."""
     n = df.count()
     blocks = max(5, round(1 / test))
-    chosen = [r[0] for r in df.sparkSession.range(blocks).orderBy(F.xxhash64(F.lit(seed), F.col("id"))).limit(max(1, round(blocks * test))).collect()]
+    chosen = [r[0] for r in df.sparkSession.range(blocks).orderBy(*seeded_order("id", seed)).limit(max(1, round(blocks * test))).collect()]
     got = ranked(df, order).withColumn("block", _fold(F.col("_r"), n, blocks)).drop("_r")
     return got.withColumn("split", F.when(F.col("block").isin(chosen), "test").otherwise("train"))
 

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from redsift.operators.ranks import percentiles, same
+
 BINS = 1024
 
 
@@ -42,7 +44,8 @@ def histogram(df: DataFrame, by: list[str], value: str, lo: float, hi: float, bi
 
 
 def histogram_percentile(hist: DataFrame, by: list[str], p: float, lo: float, hi: float, bins: int = BINS) -> DataFrame:
-    """``(by, value)``: the percentile by linear interpolation in the first bin whose cumulative count reaches it."""
+    """``(by, value)``: the percentile by linear interpolation in the first bin whose cumulative count reaches it; a
+    histogram without counts gives 0, also one without rows if it has no groups."""
     width = (hi - lo) / bins
     w = Window.partitionBy(*by).orderBy("bin") if by else Window.orderBy("bin")
     whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
@@ -50,16 +53,17 @@ def histogram_percentile(hist: DataFrame, by: list[str], p: float, lo: float, hi
     hit = c.where(F.col("_c") >= F.col("_t")).groupBy(*by).agg(F.min_by(F.struct("bin", "n", "_c", "_t"), "bin").alias("h"))
     h = F.col("h")
     inside = F.when(h["n"] > 0, (h["_t"] - (h["_c"] - h["n"])) / h["n"]).otherwise(0.0)
-    return hit.select(*by, (lo + (h["bin"] + inside) * width).alias("value"))
+    empty = h["_t"] <= 0
+    got = hit.select(*by, F.when(empty, 0.0).otherwise(lo + (h["bin"] + inside) * width).alias("value"))
+    return got if by else got.agg(F.coalesce(F.max("value"), F.lit(0.0)).alias("value"))
 
 
 def percentile_stretch(df: DataFrame, by: list[str], value: str, out: str = "stretched", least: int = 1) -> DataFrame:
     """Value between the 2nd and 98th percentile of the non-zero values of its group, in [0, 1]; zero where it was zero,
     where the group has fewer than ``least`` such values, or where the percentiles coincide."""
     v = F.col(value)
-    p = df.where(v != 0).groupBy(*by).agg(F.percentile(v, F.array(F.lit(0.02), F.lit(0.98))).alias("_p"), F.count(F.lit(1)).alias("_k"))
-    on = [F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}")) for g in by]
-    j = df.alias("l").join(p.alias("r"), on, "left")
+    p = percentiles(df.where(v != 0), by, value, [0.02, 0.98], "_p").withColumnRenamed("n", "_k")
+    j = df.alias("l").join(p.alias("r"), same("l", "r", by), "left")
     x, lo, hi = F.col(f"l.{value}"), F.col("r._p")[0], F.col("r._p")[1]
     y = F.when((x == 0) | (F.coalesce(F.col("r._k"), F.lit(0)) < least) | (hi <= lo) | lo.isNull(), 0.0).otherwise(F.least(F.greatest((x - lo) / (hi - lo), F.lit(0.0)), F.lit(1.0)))
     return j.select("l.*", y.alias(out))
@@ -86,14 +90,18 @@ def unpivot_summary(df: DataFrame, columns: list[str], by: list[str] | None = No
     long = df.unpivot(by or [F.lit(0).alias("_k")], columns, "metric", "v")
     v, n = F.col("v"), F.count("v")
     std = F.when(n < 2, F.stddev_pop(v)).otherwise(F.stddev_samp(v))
-    return long.groupBy(*by, "metric").agg(n.alias("n"), F.avg(v).alias("mean"), std.alias("std"), F.median(v).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"))
+    keys = [*by, "metric"]
+    got = long.groupBy(*keys).agg(n.alias("n"), F.avg(v).alias("mean"), std.alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    mid = percentiles(long, keys, "v", [0.5])
+    return got.alias("l").join(mid.alias("r"), same("l", "r", keys), "left").select(*[f"l.{k}" for k in keys], "l.n", "mean", "std", F.col("percentiles")[0].alias("median"), "min", "max")
 
 
 def ratio_metrics(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Coefficient of variation and relative 2-98 range per group; NaN where the mean is zero."""
     v = F.col(value)
-    p = F.percentile(v, F.array(F.lit(0.02), F.lit(0.98)))
-    got = df.groupBy(*by).agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), p.alias("_p"))
+    got = df.groupBy(*by).agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))
+    p = percentiles(df, by, value, [0.02, 0.98], "_p").drop("n")
+    got = got.alias("l").join(p.alias("r"), same("l", "r", by), "left").select("l.*", "_p")
     nan = F.lit(math.nan)
     cv = F.when(F.col("mean") != 0, F.col("std") / F.col("mean")).otherwise(nan)
     drcr = F.when(F.col("mean") != 0, (F.col("_p")[1] - F.col("_p")[0]) / F.col("mean")).otherwise(nan)
@@ -180,10 +188,9 @@ def correlation_loss(df: DataFrame, by: list[str], pred: str, truth: str) -> Dat
 
 def mad_scale(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """1.4826 times the median absolute deviation from the median."""
-    m = df.groupBy(*by).agg(F.median(value).alias("_m"))
-    on = [F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}")) for g in by]
-    j = df.alias("l").join(m.alias("r"), on)
-    return j.groupBy(*[F.col(f"l.{g}").alias(g) for g in by]).agg((F.median(F.abs(F.col(f"l.{value}") - F.col("r._m"))) * 1.4826).alias("mad"))
+    m = percentiles(df, by, value, [0.5], "_m").drop("n")
+    j = df.alias("l").join(m.alias("r"), same("l", "r", by)).select(*[F.col(f"l.{g}") for g in by], F.abs(F.col(f"l.{value}") - F.col("_m")[0]).alias("_d"))
+    return percentiles(j, by, "_d", [0.5]).select(*by, (F.col("percentiles")[0] * 1.4826).alias("mad"))
 
 
 def nodata_check(df: DataFrame, by: list[str], value: str, offset: float, tolerance: float = 1e-6) -> DataFrame:

@@ -7,21 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from redsift.fixed import GEO_FEATURES, THEMES  # noqa: F401
 from redsift.functions.text import bigrams, science_tokens, word_tokens
 
-#: Names of surface features that statements mention.
-GEO_FEATURES = (
-    "crater chasma chasmata vallis valles planitia planum terra fossa fossae tholus mons montes patera labyrinthus sulci rupes dorsa cavi scopulus colles mensa mensae fluctus"
-).split()
-#: A small set of themes in order; callers give their own.
-THEMES = {
-    "Craters": ["crater", "impact", "ejecta"],
-    "Slopes": ["gully", "gullies", "scarp", "scarps", "rsl", "slope streaks"],
-    "Wind": ["dune", "dunes", "ripples", "yardangs", "tars"],
-    "Water": ["channel", "channels", "fan deposits", "vallis"],
-    "Volcanic": ["lava flows", "tholus", "patera"],
-    "Minerals": ["clays", "sulfates", "hydrated minerals"],
-}
 #: Right-closed latitude bands.
 BANDS = [(-90.0, -65.0), (-65.0, -30.0), (-30.0, 30.0), (30.0, 65.0), (65.0, 90.0)]
 
@@ -48,7 +36,7 @@ def mentions(df: DataFrame, text: str, words: list[str]) -> DataFrame:
     return df.select(F.explode(found).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def themes(text: Column | str, table: dict[str, list[str]] | None = None) -> Column:
+def themes(text: Column | str, table: dict[str, tuple[str, ...]] | None = None) -> Column:
     """Names of the themes of which a keyword occurs whole, in the table's order; ``Other`` without any. Null: Other."""
     low = F.lower(F.col(text) if isinstance(text, str) else text)
     hits = [F.when(low.rlike(r"\b(" + "|".join(re.escape(k.lower()) for k in keys) + r")\b"), F.lit(name)) for name, keys in (table or THEMES).items()]

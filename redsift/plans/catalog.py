@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from redsift import fixed
 from redsift.functions import geo, scale
 from redsift.functions import text as tx
 from redsift.functions.ids import plain_obs_id, product_observation, product_type
 from redsift.operators import catalog, embeddings, pairs, splits, stats, text_stats
 from redsift.operators.latest import keep_first, keep_last
-from redsift.session import table
+from redsift.operators.ranks import percentiles, same
+from redsift.session import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -331,10 +334,10 @@ def candidate_grid(spark, d):
     return rounded(pairs.candidate_grid(s, 0.02, 0.02, 0.6).select("id", "cx", "cy"))
 
 
-@query("""with g as (select l_suppkey % 50 as r, l_partkey % 40 as c, min(l_orderkey) as k from lineitem group by 1, 2), o as (select * from (values (0, 1), (1, -1), (1, 0), (1, 1)) t(dr, dc))
+@query("""with g as (select l_suppkey as r, l_partkey as c, min(l_orderkey) as k from lineitem group by 1, 2), o as (select * from (values (0, 1), (1, -1), (1, 0), (1, 1)) t(dr, dc))
 select x.k as a, y.k as b, dr, dc from g x, o, g y where y.r = x.r + dr and y.c = x.c + dc""")
 def grid_neighbour_join(spark, d):
-    g = table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 50).alias("r"), (F.col("l_partkey") % 40).alias("c")).agg(F.min("l_orderkey").alias("k"))
+    g = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("r"), F.col("l_partkey").alias("c")).agg(F.min("l_orderkey").alias("k"))
     return pairs.grid_neighbours(g, "k", "r", "c")
 
 
@@ -347,17 +350,23 @@ def split_geographic(spark, d):
     return splits.percent_split(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), [F.col("o_totalprice"), F.col("o_orderkey")]).select("o_orderkey", "split")
 
 
-@query("select o_orderkey, (ntile(5) over (order by o_totalprice, o_orderkey) - 1)::int as fold from orders")
+@query("""with f as (select o_orderkey, (ntile(5) over (order by o_totalprice, o_orderkey) - 1)::int as fold from orders),
+v as (select o_orderkey, row_number() over (order by md5('2:' || o_orderkey), o_orderkey) as r, count(*) over () as n from f where fold <> 2)
+select o_orderkey, fold, case when fold = 2 then 'test' when r <= greatest(1, round_even(n * 0.1, 0)) then 'val' else 'train' end as split from f left join v using (o_orderkey)""")
 def kfold_assignment(spark, d):
-    return splits.kfold_split(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", [F.col("o_totalprice"), F.col("o_orderkey")], 5, 2).select("o_orderkey", "fold")
+    return splits.kfold_split(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", [F.col("o_totalprice"), F.col("o_orderkey")], 5, 2).select("o_orderkey", "fold", "split")
 
 
-@query()
+@query("""with p as (select distinct patch_id from patch_records), r as (select patch_id, row_number() over (order by md5('3:' || coalesce(patch_id, '')), patch_id nulls first) as r, row_number() over (order by patch_id nulls first) - 1 as i, count(*) over () as n from p),
+c as (select *, round_even(n * 0.15, 0)::bigint as h from r), k as (select *, r - h as k, n - h as m from c)
+select patch_id, i as patch_index, case when r <= h then 'test' when r <= 2 * h then 'val' else 'train' end as holdout_split, r <= h as is_test,
+ case when r > h then case when k <= (m % 5) * (m // 5 + 1) then (k - 1) // (m // 5 + 1) else (k - 1 - (m % 5) * (m // 5 + 1)) // (m // 5) + m % 5 end end::int as fold from k""")
 def split_manifest_build(spark, d):
     return splits.split_manifest(table(spark, d, "patch_records").select("patch_id").distinct(), seed=3)
 
 
-@query()
+@query("""with b as (select o_orderkey, (ntile(5) over (order by o_totalprice, o_orderkey) - 1)::int as block from orders), t as (select i from range(5) r(i) order by md5('0:' || i), i limit 1)
+select o_orderkey, block, case when block in (select i from t) then 'test' else 'train' end as split from b""")
 def block_split(spark, d):
     return splits.block_split(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), [F.col("o_totalprice"), F.col("o_orderkey")]).select("o_orderkey", "block", "split")
 
@@ -550,13 +559,13 @@ def top_words(spark, d):
     return text_stats.most_common(rdr(spark, d), "rationale_desc", "pos")
 
 
-@query("with w as (select unnest([" + ", ".join(f"'{w}'" for w in text_stats.GEO_FEATURES) + "]) as word) select word, count(*) as n from w, rdr_index where regexp_matches(rationale_desc, '(?i)\\b' || word || '\\b') group by 1")
+@query("with w as (select unnest([" + ", ".join(f"'{w}'" for w in fixed.GEO_FEATURES) + "]) as word) select word, count(*) as n from w, rdr_index where regexp_matches(rationale_desc, '(?i)\\b' || word || '\\b') group by 1")
 def feature_mentions(spark, d):
-    return text_stats.mentions(rdr(spark, d), "rationale_desc", list(text_stats.GEO_FEATURES))
+    return text_stats.mentions(rdr(spark, d), "rationale_desc", list(fixed.GEO_FEATURES))
 
 
 def _theme_sql(t: str = "rationale_desc") -> str:
-    hits = ", ".join(f"case when regexp_matches(lower({t}), '\\b(" + "|".join(k) + f")\\b') then '{n}' end" for n, k in text_stats.THEMES.items())
+    hits = ", ".join(f"case when regexp_matches(lower({t}), '\\b(" + "|".join(re.escape(w.lower()) for w in k) + f")\\b') then '{n}' end" for n, k in fixed.THEMES.items())
     return f"case when len(list_filter([{hits}], lambda x: x is not null)) > 0 then list_filter([{hits}], lambda x: x is not null) else ['Other'] end"
 
 
@@ -573,7 +582,7 @@ def primary_themes(spark, d):
 _BAND = "case " + " ".join(f"when y > {a} and y <= {b} then '({a:g}, {b:g}]'" for a, b in text_stats.BANDS) + " end"
 
 
-@query(f"with t as (select (min_latitude + max_latitude) / 2 as y, unnest({_theme_sql()}) as theme from rdr_index), b as (select {_BAND} as band, theme from t where y is not null) select band, " + ", ".join(f"count(*) filter (theme = '{n}') as \"{n}\"" for n in [*text_stats.THEMES, "Other"]) + " from b where band is not null group by 1")
+@query(f"with t as (select (min_latitude + max_latitude) / 2 as y, unnest({_theme_sql()}) as theme from rdr_index), b as (select {_BAND} as band, theme from t where y is not null) select band, " + ", ".join(f"count(*) filter (theme = '{n}') as \"{n}\"" for n in [*fixed.THEMES, "Other"]) + " from b where band is not null group by 1")
 def band_theme_crosstab(spark, d):
     return text_stats.band_theme_crosstab(rdr(spark, d), "rationale_desc", (F.col("min_latitude") + F.col("max_latitude")) / 2)
 
@@ -600,11 +609,11 @@ def vocabulary(spark, d):
     return text_stats.vocabulary(rdr(spark, d), "rationale_desc", 2)
 
 
-@query(_VOC + """, u as (select pos, unnest(a[1:16]) as token, unnest(range(len(a[1:16]))) as k from t), e as (select pos, list(coalesce(id, 1) order by k) as b from u left join i using (token) group by 1),
-f as (select pos, ([2] || coalesce(b, []) || [3])[1:16] as g from t left join e using (pos)) select pos, g || [0 for z in range(16 - len(g))] as ids from f""")
+@query(_VOC + """, u as (select pos, unnest(a[1:64]) as token, unnest(range(len(a[1:64]))) as k from t), e as (select pos, list(coalesce(id, 1) order by k) as b from u left join i using (token) group by 1),
+f as (select pos, ([2] || coalesce(b, []) || [3])[1:64] as g from t left join e using (pos)) select pos, g || [0 for z in range(64 - len(g))] as ids from f""")
 def encode_tokens(spark, d):
     r = rdr(spark, d).where("rationale_desc is not null")
-    return text_stats.encoded(r, "pos", "rationale_desc", text_stats.vocabulary(rdr(spark, d), "rationale_desc", 2), 16)
+    return text_stats.encoded(r, "pos", "rationale_desc", text_stats.vocabulary(rdr(spark, d), "rationale_desc", 2), 64)
 
 
 # ---------------------------------------------------------------- embeddings, sets
@@ -645,7 +654,8 @@ def minimum_slice(spark, d):
     """Scan, range filter, first row per entity, moments and percentiles per category."""
     li = table(spark, d, "lineitem").where((F.col("l_quantity") >= 10) & (F.col("l_shipdate") >= F.lit("1994-01-01").cast("timestamp")))
     k = keep_first(li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_extendedprice"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"])
+    k = written(k.select("l_returnflag", "l_extendedprice"), "slice")  # read for the moments and for the percentiles
     v = F.col("l_extendedprice")
-    p = F.percentile(v, F.array(F.lit(0.02), F.lit(0.98)))
-    g = k.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), p[0].alias("p02"), p[1].alias("p98"))
-    return rounded(g, 4)
+    g = k.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    p = percentiles(k, ["l_returnflag"], "l_extendedprice", [0.02, 0.98], "p").select("l_returnflag", F.col("p")[0].alias("p02"), F.col("p")[1].alias("p98"))
+    return rounded(g.alias("l").join(p.alias("r"), same("l", "r", ["l_returnflag"]), "left").select("l.*", "p02", "p98"), 4)

@@ -12,6 +12,7 @@ from redsift.operators import catalog, experiments, geometry, metrics, raster, r
 from redsift.operators.cache import build_cache, load_cache, merge_cache, upsert
 from redsift.plans.catalog import lon, rounded
 from redsift.session import table
+from redsift.sources import readers
 from redsift.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,18 +29,20 @@ def query(sql: str | None = None):
     return add
 
 
-_T = """with t as (select l_returnflag as variant, l_linenumber % 3 as seed, l_partkey % 400 as tile, avg(l_discount) as v from lineitem group by 1, 2, 3),
+#: Simpson's rule on [0, t] in so many steps.
+_STEPS = 2000
+_P = f"""case when {{t}} is null then null else round(greatest(0, 1 - 2 * ({{t}} / {_STEPS} / 3) * (select sum(case when i in (0, {_STEPS}) then 1 when i % 2 = 1 then 4 else 2 end * {{f}}) from range({_STEPS + 1}) r(i))), 6) end"""
+
+
+_T = """with t as (select l_returnflag as variant, l_linenumber % 3 as seed, l_partkey as tile, avg(l_discount) as v from lineitem group by 1, 2, 3),
 p as (select a.variant, a.seed, a.tile, a.v - b.v as delta from t a join t b using (seed, tile) where a.variant <> 'N' and b.variant = 'N')
 """
 
 
-def _tiles(spark: SparkSession, d: str, tile: Column) -> DataFrame:
+def _deltas(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
-    return li.groupBy(F.col("l_returnflag").alias("variant"), (F.col("l_linenumber") % 3).alias("seed"), tile.alias("tile")).agg(F.avg("l_discount").alias("v"))
-
-
-def _deltas(spark: SparkSession, d: str, tile: Column | None = None) -> DataFrame:
-    return experiments.paired(_tiles(spark, d, F.col("l_partkey") % 400 if tile is None else tile), "variant", "N", ["seed", "tile"], "v").select("variant", "seed", "tile", "delta")
+    tiles = li.groupBy(F.col("l_returnflag").alias("variant"), (F.col("l_linenumber") % 3).alias("seed"), F.col("l_partkey").alias("tile")).agg(F.avg("l_discount").alias("v"))
+    return experiments.paired(tiles, "variant", "N", ["seed", "tile"], "v").select("variant", "seed", "tile", "delta")
 
 
 @query("select r_name as variant, s as seed, [lower(r_name)] || ['steps=10'] as overrides from region, (select unnest([1, 2, 3]) as s)")
@@ -66,19 +69,21 @@ def track_summary(spark, d):
     return rounded(experiments.track_summary(li, ["variant"], "seed", "l_quantity"))
 
 
-@query(_T + "select variant, seed, count(*) as n, round(avg(delta), 9) as mean, round(avg(delta) / (stddev_samp(delta) / sqrt(count(*))), 4) as t from p group by 1, 2")
+@query(_T + ", s as (select variant, seed, count(*) as n, avg(delta) as mean, avg(delta) / (stddev_samp(delta) / sqrt(count(*))) as t from p group by 1, 2) select variant, seed, n, round(mean, 9) as mean, round(t, 4) as t, "
+  + _P.format(t="abs(t)", f="exp(lgamma(n / 2) - lgamma((n - 1) / 2) - 0.5 * ln((n - 1) * pi()) - n / 2 * ln(1 + pow(abs(t) * i / 2000, 2) / (n - 1)))") + " as p from s")
 def ttest_runs(spark, d):
-    return rounded(experiments.ttest(_deltas(spark, d), ["variant", "seed"], "delta").drop("p"), 4, mean=9)
+    return rounded(experiments.ttest(_deltas(spark, d), ["variant", "seed"], "delta"), 4, mean=9, p=6)
 
 
 _W = _T + """, z as (select variant, round(delta, 9) as delta from p where round(delta, 9) <> 0), c as (select variant, abs(delta) as a, count(*) as c, count(*) filter (delta > 0) as up from z group by 1, 2),
-r as (select *, sum(c) over (partition by variant order by a) - c + (c + 1) / 2 as rank from c), g as (select variant, sum(c) as n, sum(up * rank) as plus from r group by 1)
-select variant, n::bigint as n, round(least(plus, n * (n + 1) / 2 - plus), 3) as w from g"""
+r as (select *, sum(c) over (partition by variant order by a) - c + (c + 1) / 2 as rank from c), g as (select variant, sum(c)::double as n, sum(up * rank) as plus, sum(pow(c, 3) - c) as ties from r group by 1),
+s as (select variant, n, least(plus, n * (n + 1) / 2 - plus) as w, abs(least(plus, n * (n + 1) / 2 - plus) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) as z from g)
+select variant, n::bigint as n, round(w, 3) as w, """ + _P.format(t="z", f="exp(-0.5 * pow(z * i / 2000, 2)) / sqrt(2 * pi())") + " as p from s"
 
 
 @query(_W)
 def wilcoxon_runs(spark, d):
-    return rounded(experiments.wilcoxon_test(rounded(_deltas(spark, d), 9), ["variant"], "delta").drop("p"), 3)
+    return rounded(experiments.wilcoxon_test(rounded(_deltas(spark, d), 9), ["variant"], "delta"), 3, p=6)
 
 
 @query("""with q as (select l_returnflag as metric, l_linenumber as variant, avg(l_discount) as p from lineitem group by 1, 2), r as (select *, row_number() over (partition by metric order by p, variant) as i, count(*) over (partition by metric) as k from q)
@@ -88,14 +93,16 @@ def holm_correction(spark, d):
     return rounded(experiments.holm(q.select("metric", "variant", "p"), ["metric"], F.col("p")).select("metric", "variant", "holm_p"))
 
 
-@query("select l_returnflag, count(*) as k, round(-2 * sum(ln(greatest(l_discount, 1e-300))), 3) as chi2 from lineitem group by 1")
+@query("""with c as (select l_suppkey, count(*) as k, -2 * sum(ln(greatest(0.02 + 9 * l_discount, 1e-300))) as chi2 from lineitem group by 1)
+select l_suppkey, k, round(chi2, 6) as chi2, round(least(1, (select sum(exp(i * ln(chi2 / 2) - lgamma(i + 1) - chi2 / 2)) from range(100000) r(i) where i < k)), 6) as p from c""")
 def fisher_combination(spark, d):
-    return rounded(experiments.fisher(table(spark, d, "lineitem").select("l_returnflag", "l_discount"), ["l_returnflag"], "l_discount").drop("p"), 3)
+    li = table(spark, d, "lineitem").select("l_suppkey", (0.02 + 9 * F.col("l_discount")).alias("p"))
+    return rounded(experiments.fisher(li, ["l_suppkey"], "p"))
 
 
 @query()
 def hierarchical_bootstrap(spark, d):
-    return experiments.bootstrap(_deltas(spark, d, F.col("l_partkey")), ["variant"], "seed", "delta")
+    return experiments.bootstrap(_deltas(spark, d), ["variant"], "seed", "delta")
 
 
 @query("select o_orderstatus, o_orderkey, round(o_totalprice, 2) as o_totalprice from orders qualify row_number() over (partition by o_orderstatus order by o_totalprice, o_orderkey) = 1")
@@ -154,10 +161,10 @@ def heartbeat_windows(spark, d):
     return h.select(F.unix_micros(F.col("start").cast("timestamp")).alias("start_us"), "event_type", "n")
 
 
-@query("with u as (select *, 0 as v from orders where o_orderkey % 3 = 0 union all select *, 1 from orders where o_orderkey % 2 = 0) select o_orderkey, max(v) as v from u group by 1")
+@query("with u as (select *, 0 as v from orders union all select *, 1 from orders where o_orderkey % 2 = 0) select o_orderkey, max(v) as v from u group by 1")
 def state_upsert(spark, d):
     o = table(spark, d, "orders").select("o_orderkey")
-    return upsert(o.where("o_orderkey % 3 = 0").withColumn("v", F.lit(0)), o.where("o_orderkey % 2 = 0").withColumn("v", F.lit(1)), "o_orderkey", "v")
+    return upsert(o.withColumn("v", F.lit(0)), o.where("o_orderkey % 2 = 0").withColumn("v", F.lit(1)), "o_orderkey", "v")
 
 
 @query("""with m as (select distinct regexp_replace(trim(product_id), '_(COLOR|RED)$', '') as obs_id, trim(regexp_replace(rationale_desc, '\\s+', ' ', 'g')) as t from rdr_index)
@@ -170,6 +177,42 @@ def rationale_cache_build(spark, d):
     return merge_cache(m, cache).select("obs_id", "rationale_expanded", "has_rationale_expanded")
 
 
+@query("select r_name as queue, n_nationkey as index, lower(n_name) as name, [lower(n_name), '--run'] as argv, 'queued' as status, '/queues/logs/' || lpad(n_nationkey::varchar, 2, '0') || '_' || lower(n_name) || '.log' as log_path, null::int as exit_code from nation join region on r_regionkey = n_regionkey")
+def queue_initial(spark, d):
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    n = n.select(F.col("r_name").alias("queue"), F.col("n_nationkey").alias("index"), F.lower("n_name").alias("name"), F.array(F.lower("n_name"), F.lit("--run")).alias("argv"))
+    return jobs.initial_status(n, "/queues").select("queue", "index", "name", "argv", "status", "log_path", "exit_code")
+
+
+_OUTCOME = """with j as (select o_custkey, o_orderkey, case o_orderstatus when 'O' then 0 when 'F' then 1 end as code from orders), f as (select o_custkey, min(o_orderkey) as f from j where code <> 0 group by 1),
+o as (select o_custkey, o_orderkey, case when o_orderkey > f then 'skipped' when code is null then 'queued' when code = 0 then 'completed' else 'failed' end as status from j left join f using (o_custkey)) """
+
+
+def _outcome(spark, d):
+    code = F.when(F.col("o_orderstatus") == "O", 0).when(F.col("o_orderstatus") == "F", 1)
+    return jobs.queue_outcome(table(spark, d, "orders").select("o_custkey", "o_orderkey", code.alias("code")), ["o_custkey"], "o_orderkey", "code").select("o_custkey", "o_orderkey", "status")
+
+
+@query(_OUTCOME + "select * from o")
+def queue_outcome(spark, d):
+    return _outcome(spark, d)
+
+
+@query(_OUTCOME + """select o_custkey, case when count(*) filter (status = 'failed') > 0 then 'failed' when count(*) filter (status = 'queued') > 0 then 'running' else 'completed' end as state,
+ count(*) filter (status = 'completed') as n_completed, count(*) filter (status = 'failed') as n_failed, count(*) filter (status = 'skipped') as n_skipped, count(*) filter (status = 'queued') as n_queued from o group by 1""")
+def queue_states(spark, d):
+    return jobs.queue_states(_outcome(spark, d), ["o_custkey"])
+
+
+_MESSAGES = ["opj_decode() failed", "IReadBlock FAILED at X offset 0", "No space left on device", "a.JP2: not recognized as being in a supported file format.", "Tile part length size inconsistent"]
+
+
+@query("select r_regionkey, r_regionkey <> 2 as corrupt from region")
+def corrupt_sources(spark, d):
+    message = F.element_at(F.array(*[F.lit(m) for m in _MESSAGES]), F.col("r_regionkey").cast("int") + 1)
+    return table(spark, d, "region").select("r_regionkey", readers.is_corrupt(message).alias("corrupt"))
+
+
 # ---------------------------------------------------------------- geometry
 
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from redsift.fixed import CORRUPT_MARKS
 from redsift.operators.bad_rows import TAB_SCHEMA, loaded
 from redsift.operators.catalog import require
 from redsift.operators.latest import keep_first
@@ -130,12 +133,10 @@ def conversion_plan(files: DataFrame) -> DataFrame:
     return got.withColumn("status", F.when(F.col("_t") >= F.col("modified"), "skipped").otherwise("convert")).drop("_t")
 
 
-#: What a decoder says of a broken source.
-CORRUPT_MARKS = ("corrupt", "truncated", "not a jp2", "unexpected end")
-
-
 def is_corrupt(message: Column) -> Column:
-    return F.coalesce(F.lower(message).rlike("|".join(CORRUPT_MARKS)), F.lit(False))
+    """Whether a decoder's message tells of a corrupt source; disks that are full and the like do not. Null: no."""
+    low = F.lower(message)
+    return F.coalesce(reduce(or_, [F.contains(low, F.lit(m)) for m in CORRUPT_MARKS]), F.lit(False))
 
 
 def download_plan(index: DataFrame, files: DataFrame, root: str, suffixes: tuple[str, ...] = (".JP2", ".LBL")) -> DataFrame:

@@ -9,9 +9,11 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from redsift.fixed import COMPLETED, FAILED, QUEUED, RUNNING, SKIPPED
+
 
 def latest_state(events: DataFrame, job: str, ts: str, order: str) -> DataFrame:
     """The last event of each job (ties: greatest ``order``) and how many it had."""
@@ -35,14 +37,48 @@ def last_valid(events: DataFrame, job: str, ts: str, value: str) -> DataFrame:
     return events.groupBy(job).agg(v.alias("last")).withColumn("finite", F.coalesce(~F.isnan("last") & (F.abs("last") != float("inf")), F.lit(False)))
 
 
-def initial_status(jobs: DataFrame) -> DataFrame:
-    return jobs.withColumns({"status": F.lit("pending"), "attempts": F.lit(0)})
+QUEUE_SPEC = "name string, fail_fast boolean, jobs array<struct<name:string,argv:array<string>,cwd:string>>"
+
+
+def read_queue(spark: SparkSession, path: str) -> DataFrame:
+    """Jobs of a queue specification in order: ``(queue, fail_fast, index, name, argv, cwd)``.
+
+    A file without jobs, or with a job without arguments, is an error.
+    """
+    spec = spark.read.schema(QUEUE_SPEC).option("multiLine", True).json(path).first()  # one small document
+    if spec is None or not spec["jobs"]:
+        raise ValueError("a queue needs a non-empty list 'jobs'")
+    for i, job in enumerate(spec["jobs"]):
+        if job is None or not job["argv"] or any(a is None for a in job["argv"]):
+            raise ValueError(f"job {i} needs a non-empty list 'argv' of strings")
+    fast = True if spec["fail_fast"] is None else spec["fail_fast"]
+    rows = [(spec["name"] or "queue", fast, i, j["name"] or f"job_{i:02d}", j["argv"], j["cwd"]) for i, j in enumerate(spec["jobs"])]
+    return spark.createDataFrame(rows, "queue string, fail_fast boolean, index int, name string, argv array<string>, cwd string")
+
 
+def initial_status(jobs: DataFrame, folder: str, index: str = "index", name: str = "name") -> DataFrame:
+    """``jobs`` as they wait: state queued, where they will log, and nothing measured yet."""
+    log = F.concat(F.lit(f"{folder}/logs/"), F.lpad(F.col(index).cast("string"), 2, "0"), F.lit("_"), F.col(name), F.lit(".log"))
+    empty = {c: F.lit(None).cast(t) for c, t in (("started_at", "timestamp"), ("finished_at", "timestamp"), ("duration_seconds", "double"), ("exit_code", "int"), ("pid", "long"), ("heartbeat_at", "timestamp"), ("last_output_at", "timestamp"), ("last_output_line", "string"))}
+    return jobs.withColumns({"status": F.lit(QUEUED), "log_path": log} | empty)
 
-def fail_fast(states: DataFrame, position: str, status: str) -> DataFrame:
-    """States in queue order where everything after the first failure is skipped."""
-    first = states.where(F.col(status) == "failed").agg(F.min(position).alias("_f"))  # one row
-    return states.join(F.broadcast(first)).withColumn(status, F.when(F.col(position) > F.col("_f"), "skipped").otherwise(F.col(status))).drop("_f")
+
+def queue_outcome(jobs: DataFrame, by: list[str], position: str, exit_code: str, fail_fast: bool = True) -> DataFrame:
+    """``jobs`` with ``status`` as a queue run one after the other leaves them: completed or failed by the exit code (null:
+    still queued), and skipped behind the first failure of their queue if it fails fast."""
+    own = F.when(F.col(exit_code).isNull(), QUEUED).when(F.col(exit_code) == 0, COMPLETED).otherwise(FAILED)
+    if not fail_fast:
+        return jobs.withColumn("status", own)
+    first = jobs.where(F.col(exit_code) != 0).groupBy(*by).agg(F.min(position).alias("_f"))
+    return jobs.join(first, by, "left").withColumn("status", F.when(F.col(position) > F.col("_f"), SKIPPED).otherwise(own)).select(*jobs.columns, "status")
+
+
+def queue_states(jobs: DataFrame, by: list[str], status: str = "status", fail_fast: bool = True) -> DataFrame:
+    """``(by, state, n_completed, n_failed, n_skipped, n_queued)`` of each queue; one that goes on after failures completes."""
+    n = {s: F.count_if(F.col(status) == s).alias(f"n_{s}") for s in (COMPLETED, FAILED, SKIPPED, QUEUED)}
+    got = jobs.groupBy(*by).agg(*n.values())
+    state = F.when((F.col("n_failed") > 0) & F.lit(fail_fast), FAILED).when(F.col("n_queued") > 0, RUNNING).otherwise(COMPLETED)
+    return got.select(*by, state.alias("state"), *[f"n_{s}" for s in n])
 
 
 def lane_control(disabled: Column, draining: Column, disable: Column) -> tuple[Column, Column]:
@@ -90,16 +126,47 @@ def watch(events: DataFrame, milliseconds: int = 60_000) -> DataFrame:
 
 
 def upsert_sink(path: str, key: str, order: str):
-    """A ``foreachBatch`` function that keeps the latest row per key in a table (two versions, switched by name)."""
+    """A ``foreachBatch`` function that keeps the latest row per key in a table.
+
+    Each batch writes a new version and then a pointer to it; :func:`read_upserted` follows the pointer, so a batch that
+    dies half way, or is run again, leaves the version before in force. Versions before the last two are deleted.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
         from redsift.operators.cache import upsert
 
         spark = batch.sparkSession
-        try:
-            old = spark.read.parquet(f"{path}/v{(epoch + 1) % 2}")
-        except Exception:  # noqa: BLE001
-            old = batch.limit(0)
-        upsert(old, batch, key, order).write.mode("overwrite").parquet(f"{path}/v{epoch % 2}")
+        now = _version(spark, path)
+        if now is not None and now >= epoch:
+            return  # this batch has been written
+        old = spark.read.schema(batch.schema).parquet(f"{path}/v{now}") if now is not None else batch.limit(0)
+        upsert(old, batch, key, order).write.mode("overwrite").parquet(f"{path}/v{epoch}")
+        fs, at = _files(spark, f"{path}/current-{epoch}")
+        fs.create(at, True).close()
+        for name in _names(spark, path):
+            kind, _, n = name.partition("-") if name.startswith("current-") else ("v", "", name[1:] if name.startswith("v") else "")
+            if n.isdigit() and int(n) < (now if now is not None else epoch):
+                fs.delete(_files(spark, f"{path}/{name}")[1], True)
 
     return write
+
+
+def read_upserted(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table that :func:`upsert_sink` keeps, None before its first batch."""
+    now = _version(spark, path)
+    return None if now is None else spark.read.parquet(f"{path}/v{now}")
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    fs, at = _files(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def _version(spark: SparkSession, path: str) -> int | None:
+    """The greatest version with a pointer."""
+    return max((int(n.removeprefix("current-")) for n in _names(spark, path) if n.startswith("current-")), default=None)

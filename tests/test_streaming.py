@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from redsift.streaming import jobs
@@ -42,10 +43,36 @@ def test_upsert_sink(spark, tmp_path):
     s = source(spark, str(tmp_path / "in"), ROWS)
     q = s.writeStream.foreachBatch(jobs.upsert_sink(str(tmp_path / "t"), "job", "ts")).trigger(availableNow=True).start()
     finish(q)
-    assert {(r["job"], r["status"]) for r in spark.read.parquet(str(tmp_path / "t" / "v0")).collect()} == {("a", "done"), ("b", "run")}
-
-
-def test_fail_fast(spark):
-    df = spark.createDataFrame([(1, "ok"), (2, "failed"), (3, "pending")], "pos int, status string")
-    assert [r["status"] for r in jobs.fail_fast(df, "pos", "status").orderBy("pos").collect()] == ["ok", "failed", "skipped"]
-    assert [r["status"] for r in jobs.fail_fast(df.where("pos = 1"), "pos", "status").collect()] == ["ok"]
+    state = lambda: {(r["job"], r["status"]) for r in jobs.read_upserted(spark, str(tmp_path / "t")).collect()}
+    assert state() == {("a", "done"), ("b", "run")}
+    sink = jobs.upsert_sink(str(tmp_path / "t"), "job", "ts")
+    more = lambda *rows: spark.createDataFrame(rows, "job string, ts string, status string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+    sink(more(("b", "2024-01-02", "done", 1.0), ("c", "2024-01-02", "run", None)), 1)
+    sink(more(("a", "2024-01-09", "again", 1.0)), 1)  # a batch that is run again changes nothing
+    sink(more(("a", "2023-01-01", "old", 1.0)), 2)
+    assert state() == {("a", "done"), ("b", "done"), ("c", "run")}
+    # a version without its pointer is not in force
+    spark.range(1).write.parquet(str(tmp_path / "t" / "v9"))
+    assert state() == {("a", "done"), ("b", "done"), ("c", "run")}
+    assert jobs.read_upserted(spark, str(tmp_path / "none")) is None
+
+
+def test_queue(spark, tmp_path):
+    (tmp_path / "q.json").write_text('{"name": "unit-queue", "jobs": [{"name": "job_a", "argv": ["python", "--version"]}, {"argv": ["x"]}]}')
+    q = jobs.read_queue(spark, str(tmp_path / "q.json"))
+    got = jobs.initial_status(q, str(tmp_path)).orderBy("index").collect()
+    assert [(r["queue"], r["name"], r["status"], r["fail_fast"]) for r in got] == [("unit-queue", "job_a", "queued", True), ("unit-queue", "job_01", "queued", True)]
+    assert got[0]["log_path"].endswith("/logs/00_job_a.log") and got[0]["exit_code"] is None
+    for bad in ('{"name": "empty", "jobs": []}', '{"jobs": [{"name": "a"}]}', '{"jobs": [{"argv": []}]}'):
+        (tmp_path / "q.json").write_text(bad)
+        with pytest.raises(ValueError):
+            jobs.read_queue(spark, str(tmp_path / "q.json"))
+
+
+def test_queue_outcome(spark):
+    df = spark.createDataFrame([("q", 1, 0), ("q", 2, 3), ("q", 3, None), ("r", 1, None), ("s", 1, 0)], "q string, pos int, code int")
+    run = lambda fast: {(r["q"], r["pos"]): r["status"] for r in jobs.queue_outcome(df, ["q"], "pos", "code", fast).collect()}
+    assert run(True) == {("q", 1): "completed", ("q", 2): "failed", ("q", 3): "skipped", ("r", 1): "queued", ("s", 1): "completed"}
+    assert run(False)["q", 3] == "queued"
+    states = {r["q"]: r["state"] for r in jobs.queue_states(jobs.queue_outcome(df, ["q"], "pos", "code"), ["q"]).collect()}
+    assert states == {"q": "failed", "r": "running", "s": "completed"}
