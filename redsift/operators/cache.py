@@ -91,11 +91,45 @@ def save_split(spark: SparkSession, assignments: DataFrame, path: str, **paramet
 
 def load_split(spark: SparkSession, path: str, expected: int, **parameters: object) -> DataFrame | None:
     """Stored assignments, or None when they are absent, of other parameters or of another number of rows."""
-    try:
-        got = spark.read.parquet(path).where(F.col("_key") == split_cache_key(**parameters)).drop("_key")
-        return got if got.count() == expected else None
-    except Exception:  # noqa: BLE001
+    if not exists(spark, path):
         return None
+    got = spark.read.parquet(path).where(F.col("_key") == split_cache_key(**parameters)).drop("_key")
+    return got if got.count() == expected else None
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+MANIFEST = "key string, parameters string, n_files long, n_bytes long, created timestamp, files array<struct<name:string,sha256:string,length:long>>"
+
+
+def write_cache_manifest(spark: SparkSession, folder: str, path: str, **parameters: object) -> None:
+    """A JSON document beside a cache: its key and parameters, how many files and bytes, and a sample of checksums."""
+    files = checksums(spark, folder)
+    total = files.agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes"))
+    sample = checksum_sample(files).agg(F.array_sort(F.collect_list(F.struct("name", "sha256", "length"))).alias("files"))  # nine at most
+    doc = total.join(sample).select(F.lit(config_hash(parameters)).alias("key"), F.lit(json.dumps(parameters, sort_keys=True, default=str)).alias("parameters"), "n_files", "n_bytes", F.current_timestamp().alias("created"), "files")
+    doc.coalesce(1).write.mode("overwrite").json(path)
+
+
+def cache_issues(spark: SparkSession, folder: str, path: str, **parameters: object) -> list[str]:
+    """What is wrong with a cache, by its document; nothing: it may be used."""
+    if not exists(spark, path):
+        return ["no manifest"]
+    doc = spark.read.schema(MANIFEST).json(path).first()  # one document
+    if doc is None or doc["key"] is None:
+        return ["no manifest"]
+    issues = [] if doc["key"] == config_hash(parameters) else ["other parameters"]
+    if not exists(spark, folder):
+        return [*issues, "no data"]
+    files = checksums(spark, folder)
+    now = files.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("b")).first()
+    issues += [f"{now['n']} files instead of {doc['n_files']}"] if now["n"] != doc["n_files"] else []
+    issues += [f"{now['b']} bytes instead of {doc['n_bytes']}"] if now["b"] != doc["n_bytes"] else []
+    expected = spark.createDataFrame(doc["files"] or [], "name string, sha256 string, length long")
+    return issues + [f"{r['issue']}: {r['name']}" for r in checksum_issues(expected, files).orderBy("name").collect()]
 
 
 def checksums(spark: SparkSession, folder: str) -> DataFrame:

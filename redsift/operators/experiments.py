@@ -191,27 +191,39 @@ def holm(df: DataFrame, by: list[str], p: Column, out: str = "holm_p") -> DataFr
     return d.withColumn(out, F.when(F.col("_p").isNotNull(), run)).drop("_p", "_q", "_a")
 
 
+#: Fixed value: cumulated probabilities of a Poisson variable of mean one.
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit finaliser: every input bit reaches every output bit."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def bootstrap(df: DataFrame, by: list[str], seed_col: str, value: str, draws: int = 2000, seed: int = 0) -> DataFrame:
     """Percentile interval (2.5, 97.5) of the mean difference: seeds are resampled, then values within each.
 
     Every draw of a seed's values needs their mean only, and a mean of a resample of n values has the same law when each
-    value gets a Poisson(1) weight; so the resample is one pass of weighted sums per (seed, draw block) with no group
-    gathered. Seeds (few) are then resampled on the sums."""
+    value gets a Poisson(1) weight; so the resample is one pass of weighted sums per (seed, draw) with no group gathered.
+    A weight is a hash of the row (all its columns) and the draw, so results do not change with partitions or batches;
+    rows alike in all columns share their weights. Seeds (few) are then resampled on the sums. Null values take no part.
+    """
     step = 100
 
     def sums(batches):
         for pdf in batches:
-            if not len(pdf):
-                continue
-            h = pdf["_h"].to_numpy().astype(np.uint64)
-            rng = np.random.default_rng(int(h[0]) ^ seed)
             for key, part in pdf.groupby(["_g", "_s"], sort=True):
-                v = part["_v"].to_numpy()
+                v, h = part["_v"].to_numpy(), part["_h"].to_numpy().view(np.uint64)
                 for a in range(0, draws, step):
-                    w = rng.poisson(1.0, (len(v), step))
-                    yield pd.DataFrame({"_g": key[0], "_s": key[1], "_d": np.arange(a, a + step), "_w": w.sum(axis=0).astype(float), "_x": v @ w})
+                    d = np.arange(a, min(a + step, draws))
+                    x = _mixed(h[:, None] ^ _mixed(d.astype(np.uint64) + np.uint64(seed << 32))[None, :])
+                    w = np.searchsorted(_POISSON, (x >> np.uint64(11)).astype(float) * 2.0**-53, side="right").astype(float)
+                    yield pd.DataFrame({"_g": key[0], "_s": key[1], "_d": d, "_w": w.sum(axis=0), "_x": v @ w})
 
-    d = df.where(F.col(value).isNotNull()).select(F.to_json(F.struct(*by)).alias("_g"), F.col(seed_col).cast("string").alias("_s"), F.col(value).cast("double").alias("_v"), F.xxhash64(*by, seed_col, value).alias("_h"))
+    d = df.where(F.col(value).isNotNull()).select(F.to_json(F.struct(*by)).alias("_g"), F.col(seed_col).cast("string").alias("_s"), F.col(value).cast("double").alias("_v"), F.xxhash64(*df.columns).alias("_h"))
     parts = d.mapInPandas(sums, "_g string, _s string, _d long, _w double, _x double").groupBy("_g", "_s", "_d").agg(F.sum("_w").alias("_w"), F.sum("_x").alias("_x"))
 
     def intervals(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from redsift.session import parallelism
 
@@ -283,3 +284,27 @@ def coverage_stats(centres: DataFrame, size: float | tuple[float, float]) -> Dat
         return pd.DataFrame({"id": [pdf["id"].iloc[0]], "n": [len(c)], "covered": [union_area(x - w / 2, y - h / 2, x + w / 2, y + h / 2)], "total": [len(c) * h * w]})
 
     return centres.groupBy("id").applyInPandas(run, f"id {kind}, n long, covered double, total double")
+
+
+def compared(strips: DataFrame, size: float | tuple[float, float], overlap: float = 0.5, patch_overlap: float = 0.0) -> DataFrame:
+    """``(id, simple_n, optimal_n, gain_pct, simple_covered, optimal_covered)``: both ways to place centres, per strip."""
+    sides = []
+    for mode in ("simple", "optimal"):
+        got = coverage_stats(strip_centres(strips, size, overlap, patch_overlap=patch_overlap, mode=mode), size)
+        sides.append(got.select("id", F.col("n").alias(f"{mode}_n"), F.round("covered", 9).alias(f"{mode}_covered")))
+    gain = (F.col("optimal_n") - F.col("simple_n")) / F.greatest(F.col("simple_n"), F.lit(1)) * 100
+    return sides[0].join(sides[1], "id").select("id", "simple_n", "optimal_n", F.round(gain, 6).alias("gain_pct"), "simple_covered", "optimal_covered")
+
+
+def synthetic_strips(n: int = 8, seed: int = 0, length: tuple[float, float] = (18.0, 35.0), width: tuple[float, float] = (3.0, 6.0), turn: tuple[float, float] = (-45.0, 45.0), chamfer: bool = True) -> list[list[tuple[float, float]]]:
+    """Seeded rectangles turned about the origin, every second corner cut if ``chamfer``: fixtures for the packers."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(n):
+        a, b, th = rng.uniform(*length) / 2, rng.uniform(*width) / 2, np.radians(rng.uniform(*turn))
+        corners = [(-a, -b), (a, -b), (a, b), (-a, b)]
+        if chamfer:
+            c = 0.3 * b
+            corners = [(-a + c, -b), (a - c, -b), (a, -b + c), (a, b - c), (a - c, b), (-a + c, b), (-a, b - c), (-a, -b + c)]
+        out.append([(float(x * np.cos(th) - y * np.sin(th)), float(x * np.sin(th) + y * np.cos(th))) for x, y in corners])
+    return out

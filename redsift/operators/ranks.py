@@ -52,4 +52,4 @@ def percentiles(df: DataFrame, by: list[str], value: str, ps: list[float], out:
         lo, hi = (F.min(F.when(F.col("cum") > f(at), F.col("_v"))) for f in (F.floor, F.ceil))
         part = F.lit(float(p)) * (F.max("total") - 1)
         found.append(lo + (hi - lo) * (part - F.floor(part)))
-    return c.groupBy(*[F.col(f"`{g}`") for g in by]).agg(F.array(*found).alias(out), F.max("total").alias("n"))
+    return c.groupBy(*[F.col(f"`{g}`") for g in by]).agg(F.array(*found).alias(out), F.max("total").alias("n")).where("n is not null")

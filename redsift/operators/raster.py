@@ -149,38 +149,6 @@ def tin_score(a: np.ndarray, valid: np.ndarray, k: int = 32) -> float:
     return float((box_sum(flat, k)[ok] / (k * k) / np.maximum(good[ok], 1e-6)).max()) if ok.any() else 0.0
 
 
-def seam_score(image: np.ndarray, elevation: np.ndarray, valid: np.ndarray, length: int = 41, angles: int = 12, offset: int = 2) -> dict:
-    """Strongest straight line that differs from both of its sides: Cohen's d along lines of ``length`` at ``angles``
-    directions, of image plus 0.3 of elevation gradients."""
-    deep = erode(valid, 4)
-    g = _unit_scale(forward_magnitude(image, deep), deep) + 0.3 * _unit_scale(forward_magnitude(elevation, deep), deep)
-    best = {"seam": 0.0, "row": -1, "col": -1, "angle": 0.0}
-    half = length // 2
-    t = np.arange(-half, half + 1)
-    for k in range(angles):
-        th = np.pi * k / angles
-        nx, ny = -np.sin(th), np.cos(th)
-
-        def along(shift: float, values: np.ndarray, th: float = th, nx: float = nx, ny: float = ny) -> np.ndarray:
-            pts = {(round(i * np.sin(th) + shift * ny), round(i * np.cos(th) + shift * nx)) for i in t}
-            return sum(_shift(values, dy, dx, "zero") for dy, dx in pts) / len(pts)
-
-        m, n = along(0, g), along(0, deep.astype(float))
-        sides = [along(s, g) for s in (offset, -offset)]
-        var = [np.maximum(along(s, g * g) - along(s, g) ** 2, 0) for s in (0, offset, -offset)]
-        d = np.minimum(*[(m - s) / np.sqrt((var[0] + v) / 2 + 1e-6) for s, v in zip(sides, var[1:], strict=True)])
-        d = np.where(n >= 0.6, d, 0)
-        at = np.unravel_index(d.argmax(), d.shape)
-        if d[at] > best["seam"]:
-            best = {"seam": float(d[at]), "row": int(at[0]), "col": int(at[1]), "angle": float(th)}
-    return best
-
-
-def _unit_scale(a: np.ndarray, valid: np.ndarray) -> np.ndarray:
-    s = a[valid].std() if valid.any() else 0.0
-    return a / s if s > 0 else np.zeros_like(a)
-
-
 def sun_vector(elevation: np.ndarray, image: np.ndarray, valid: np.ndarray, robust: bool = False, rounds: int = 15) -> dict:
     """Sun direction, intensity and ambient light by regressing brightness on surface normals.
 
@@ -295,6 +263,30 @@ def harmonic_fill(a: np.ndarray, valid: np.ndarray, connectivity: int = 4, nugge
     return np.where(valid, a, x)
 
 
+def kriging_fill(a: np.ndarray, valid: np.ndarray, drift: bool = True, points: int = 2500, seed: int = 42, least: int = 6) -> np.ndarray:
+    """Invalid pixels by kriging with a linear variogram from at most ``points`` valid ones (a documented bound of the
+    method), with a linear trend if ``drift``. Fewer than ``least`` valid pixels: unchanged."""
+    y, x = np.nonzero(valid)
+    if valid.all() or len(y) < least:
+        return a.copy()
+    if len(y) > points:
+        k = np.random.default_rng(seed).choice(len(y), points, replace=False)
+        y, x = y[k], x[k]
+    ty, tx = np.nonzero(~valid)
+    scale = max(a.shape)
+    known, wanted = (np.column_stack([v / scale for v in p]) for p in ((y, x), (ty, tx)))
+    trend = lambda p: np.column_stack([np.ones(len(p)), p] if drift else [np.ones(len(p))])
+    far = lambda p, q: np.sqrt(((p[:, None] - q[None]) ** 2).sum(axis=2))
+    t = trend(known)
+    system = np.block([[-far(known, known), t], [t.T, np.zeros((t.shape[1], t.shape[1]))]])
+    weights = np.linalg.lstsq(system, np.concatenate([a[y, x], np.zeros(t.shape[1])]), rcond=None)[0]
+    out = a.astype(float).copy()
+    for i in range(0, len(ty), 4096):
+        w = wanted[i : i + 4096]
+        out[ty[i : i + 4096], tx[i : i + 4096]] = np.column_stack([-far(w, known), trend(w)]) @ weights
+    return out
+
+
 # ---------------------------------------------------------------- shapes and augmentation
 
 

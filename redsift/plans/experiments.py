@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redsift.functions.geo import normalize_longitude
-from redsift.operators import catalog, experiments, geometry, metrics, raster, reconstruct
+from redsift.operators import catalog, experiments, geometry, metrics, raster, reconstruct, seams
 from redsift.operators.cache import build_cache, load_cache, merge_cache, upsert
 from redsift.plans.catalog import lon, rounded
 from redsift.session import table
@@ -274,6 +274,19 @@ def tile_fill(spark, d):
     return raster.map_tiles(_images(spark, d).withColumn("valid", F.transform("elevation", lambda x: x > 0)), ["elevation", "valid"], lambda a, v: {"nearest": raster.nearest_fill(a, v), "diffused": raster.diffusion_fill(a, v), "harmonic": raster.harmonic_fill(a, v)}, "nearest array<double>, diffused array<double>, harmonic array<double>, error string", ["vec_id"])
 
 
+@query()
+def tile_seams(spark, d):
+    # four tiles side by side twice over: 16 x 32 pixels, as seams need room
+    e = _images(spark, d).select("vec_id", F.lit(16).alias("height"), F.lit(32).alias("width"), F.flatten(F.array_repeat("elevation", 8)).alias("elevation"), F.flatten(F.array_repeat("image", 8)).alias("image")).withColumn("valid", F.transform("elevation", lambda x: x.isNotNull()))
+    return raster.map_tiles(e, ["image", "elevation", "valid"], seams.detect_seam, seams.SEAM, ["vec_id"])
+
+
+@query()
+def tile_kriging(spark, d):
+    e = _images(spark, d).withColumn("valid", F.transform("elevation", lambda x: x > 0))
+    return raster.map_tiles(e, ["elevation", "valid"], lambda a, v: {"drift": raster.kriging_fill(a, v), "plain": raster.kriging_fill(a, v, drift=False)}, "drift array<double>, plain array<double>, error string", ["vec_id"])
+
+
 @query()
 def mosaic_reconstruction(spark, d):
     # every embedding is a tile: scenes of 4 x 4 tiles in the order of their ids

@@ -3,10 +3,10 @@
 import pytest
 from oracle import differences
 
-from redsift.plans import catalog, experiments, problems
+from redsift.plans import catalog, dataset, experiments, problems
 
-QUERIES = problems.QUERIES | catalog.QUERIES | experiments.QUERIES
-SQL = problems.SQL | catalog.SQL | experiments.SQL
+QUERIES = problems.QUERIES | catalog.QUERIES | dataset.QUERIES | experiments.QUERIES
+SQL = problems.SQL | catalog.SQL | dataset.SQL | experiments.SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
