@@ -97,7 +97,7 @@ SUBJECTS = ["impact", "slopes", "polar", "aeolian", "fluvial", "volcanic", "mine
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return subjects.subjects(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "subject_labels"), "doc_id", "subject", SUBJECTS)
+    return subjects.subjects(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "subject_labels"), "doc_id", "subject", SUBJECTS).distinct()
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:

@@ -1,41 +1,47 @@
 """Subject area of each document: term weighting, truncated singular value decomposition, refined seed centroids.
 
-Documents are embedded per language by weighted terms and a truncated SVD, found by subspace iteration: every pass
-streams all documents and returns one block of sums. Sentences are folded in by the same basis and compared by cosine
-with a centroid per subject. Centroids start from labelled documents and are refined over all documents; a centroid is
-the mean of its documents' sentences less that of all others, so what is common to all subjects cancels.
+Documents are embedded per language by weighted terms and a truncated SVD, found by randomised subspace iteration: every
+pass streams all documents and adds up one block of sums, in a tree of tasks. Sentences are folded in by the same basis and
+compared by cosine with a centroid per subject. Centroids start from labelled documents and are refined over all documents;
+a centroid is the mean of its documents' sentences less that of all others, so what is common to all subjects cancels.
 
 A sentence may name a subject only in passing. Frames of sentences (their words without the topical ones) are counted
 over the corpus: a frame whose subject is seldom that of the rest of its document does not treat it.
 
-Counts, basis, centroids and frames are computed over all documents. Labels are read up to a documented bound.
+Texts are read once; from then on a word is the hash of its letters. Counts, basis, centroids and frames are computed over
+all documents. Labels are read up to a documented bound.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redsift.session import dropped, written
+from redsift.operators.joins import hot_join
+from redsift.session import dropped, parallelism, written
 
 #: At most this many labelled documents (those with the least hashes) seed the centroids.
 LABELLED = 50_000
-TERMS, DIMENSIONS, PASSES, ROUNDS = 6_000, 64, 4, 3
+DIMENSIONS, PASSES, ROUNDS = 64, 2, 3
+#: Terms of a language, the most frequent first: each of the first EXACT has a row of the basis of its own, the others share
+#: as many by hash. No more than TERMS are known at all (a documented bound of the model).
+EXACT, TERMS = 1 << 14, 1 << 18
 #: A term in fewer documents is left out, as is one that other languages use nearly as often (a name).
 LEAST_DF, NEUTRAL = 3, 0.25
 #: Cosines: a sentence may be of a subject, surely is, and is without a known frame; a term is topical.
 MAYBE, SURE, ALONE, TOPICAL = 0.1, 0.25, 0.16, 0.4
 #: A frame is known from so many sentences; sentences that a document needs for a subject.
 FRAME_ROWS, SENTENCES = 6, 2
-BUCKETS = 1 << 18
+#: Partial sums that one task adds up.
+FAN_IN = 16
 #: Function words that tell languages apart.
 FUNCTION_WORDS = {
     "en": "the of and in to a is at that on by with was for",
@@ -58,70 +64,123 @@ def sentences(text: str | None) -> list[list[str]]:
         text = unicodedata.normalize("NFKC", text)
     if "<" in text:
         text = _TAG.sub(" ", text)
-    out = ([w.lower() for w in _WORD.findall(s)] for s in _SENTENCE.split(text))
+    out = (_WORD.findall(s.lower()) for s in _SENTENCE.split(text))
     return [w for w in out if w]
 
 
-def language(words: list[list[str]]) -> int:
-    """Index in LANGS of the language with the most function words; the first on a tie."""
-    flat = Counter(w for s in words for w in s)
-    n = [sum(flat[w] for w in f) for f in _FUNCTION]
-    return n.index(max(n))
+class _Codes(dict):
+    """Signed 64-bit hashes of words, kept while a worker lives."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        code = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 7) - (1 << 63)
+        return code
+
+
+_CODES = _Codes()
 
 
 # ---------------------------------------------------------------- passes over all documents
 
 
-def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each document its language (that with the most function words, the first on a tie), and the distinct words of its
+    sentences as hashes, one sentence after the other, with the place where each begins."""
+    known = np.array(sorted((_CODES[w], k) for k, f in enumerate(_FUNCTION) for w in f))
     for b in batches:
-        n = [Counter() for _ in LANGS]
-        for t in b.column(0).to_pylist():
-            s = sentences(t)
-            k = language(s)
-            n[k].update({w for x in s for w in x})
-            n[k][""] += 1
-        rows = [(w, k, c) for k, x in enumerate(n) for w, c in x.items()]
-        if rows:
-            w, k, c = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(k, pa.int32()), pa.array(c, pa.int64())], names=["term", "lang", "n"])
-
-
-def vocabulary(docs: DataFrame, text: str, terms: int = TERMS) -> tuple[list[list[str]], list[np.ndarray]]:
-    """Terms and their weights per language: the most frequent ones by documents, without names."""
-    counts = docs.select(text).mapInArrow(_term_rows, "term string, lang int, n long")
-    wide = counts.groupBy("term").agg(*[F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(len(LANGS))])
-    wide = written(wide, "terms")
-    total = wide.where("term = ''").first()
-    sizes = [int(total[f"n{k}"]) if total else 0 for k in range(len(LANGS))]
-    names, weights = [], []
+        flat: list[str] = []
+        sizes: list[int] = []  # of each sentence
+        per_doc = np.zeros(b.num_rows, dtype=np.int64)
+        for i, t in enumerate(b.column(1).to_pylist()):
+            found = sentences(t)
+            per_doc[i] = len(found)
+            for x in found:
+                flat += x
+                sizes.append(len(x))
+        codes = np.fromiter(map(_CODES.__getitem__, flat), dtype=np.int64, count=len(flat))
+        sentence = np.repeat(np.arange(len(sizes)), sizes)
+        doc = np.repeat(np.arange(b.num_rows), per_doc)
+        votes = np.zeros((b.num_rows, len(LANGS)), dtype=np.int64)
+        for k in range(len(LANGS)):
+            mine = known[known[:, 1] == k, 0]
+            hit = mine[np.minimum(np.searchsorted(mine, codes), len(mine) - 1)] == codes
+            votes[:, k] = np.bincount(doc[sentence[hit]], minlength=b.num_rows)
+        order = np.lexsort((codes, sentence))
+        codes, sentence = codes[order], sentence[order]
+        first = np.ones(len(codes), dtype=bool)
+        first[1:] = (codes[1:] != codes[:-1]) | (sentence[1:] != sentence[:-1])
+        codes, sentence = codes[first], sentence[first]
+        size = np.bincount(sentence, minlength=len(sizes))
+        words = np.concatenate([[0], np.cumsum(np.bincount(doc, weights=size, minlength=b.num_rows).astype(np.int64))])
+        starts = np.cumsum(size) - size - words[doc]
+        offsets = np.concatenate([[0], np.cumsum(per_doc)])
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), pa.array(votes.argmax(axis=1).astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(starts.astype(np.int32))), pa.ListArray.from_arrays(pa.array(words.astype(np.int32)), pa.array(codes))],
+            names=["doc_id", "lang", "starts", "codes"],
+        )
+
+
+def vocabulary(hashed: DataFrame, exact: int = EXACT, terms: int = TERMS) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per language the hashes of its terms in ascending order, the row of the basis of each, and the weights of the rows.
+
+    Terms are the most frequent words by documents, without names."""
+    spark = hashed.sparkSession
+    counts = hashed.select("lang", F.explode(F.array_distinct("codes")).alias("code")).groupBy("lang", "code").agg(F.count(F.lit(1)).alias("n"))
+    sizes = [0] * len(LANGS)
+    for r in hashed.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect():
+        sizes[r["lang"]] = r["n"]
+    wide = written(counts.groupBy("code").agg(*[F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(len(LANGS))]), "terms")
+    out = []
     for k in range(len(LANGS)):
         others = [j for j in range(len(LANGS)) if j != k]
         rest = sum((F.col(f"n{j}") for j in others), F.lit(0)) / F.lit(max(1, sum(sizes[j] for j in others)))
         own = F.col(f"n{k}") / F.lit(max(1, sizes[k]))
-        rows = wide.where((F.col("term") != "") & (F.col(f"n{k}") >= LEAST_DF) & (rest <= NEUTRAL * own)).orderBy(F.desc(f"n{k}"), "term").limit(terms).select("term", f"n{k}").collect()
-        names.append([r[0] for r in rows])
-        weights.append(np.log((sizes[k] + 1) / (np.array([r[1] for r in rows], dtype=np.float64) + 0.5)))
-    dropped(docs.sparkSession, wide)
-    return names, weights
+        rows = wide.where((F.col(f"n{k}") >= LEAST_DF) & (rest <= NEUTRAL * own)).orderBy(F.desc(f"n{k}"), "code").limit(terms).select("code", f"n{k}").toPandas()
+        code, n = rows["code"].to_numpy(dtype=np.int64), rows[f"n{k}"].to_numpy(dtype=float)
+        row = np.arange(len(code))
+        row[exact:] = exact + (code[exact:] % exact)
+        total = np.bincount(row, weights=n) if len(row) else np.zeros(0)
+        weights = np.log((sizes[k] + 1) / (np.minimum(total, sizes[k]) + 0.5))
+        order = np.argsort(code)
+        out.append((code[order], row[order].astype(np.int32), weights))
+    dropped(spark, wide)
+    return out
+
 
+def _encode(shared: Broadcast) -> Callable:
+    """Words to rows of the basis; words that are no terms and sentences without any are left out."""
 
-def _encode(codes: list[dict[str, int]]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, starts, terms = [], [], []
-            for t in b.column(1).to_pylist():
-                s = sentences(t)
-                k = language(s)
-                code, ids, begin = codes[k], [], []
-                for x in s:
-                    got = sorted({code[w] for w in x if w in code})
-                    if got:
-                        begin.append(len(ids))
-                        ids += got
-                langs.append(k)
-                starts.append(begin)
-                terms.append(ids)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.int32()), pa.array(starts, pa.list_(pa.int32())), pa.array(terms, pa.list_(pa.int32()))], names=["doc_id", "lang", "starts", "terms"])
+            langs = b.column(1).to_numpy()
+            s, c = b.column(2), b.column(3)
+            codes = c.flatten().to_numpy()
+            words = np.diff(c.offsets.to_numpy())
+            base = np.cumsum(words) - words
+            per_doc = np.diff(s.offsets.to_numpy())
+            start = s.flatten().to_numpy() + np.repeat(base, per_doc)
+            sentence = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(codes))))
+            lang = np.repeat(langs, words)
+            rows = np.full(len(codes), -1, dtype=np.int32)
+            for k, (known, row, _) in enumerate(shared.value):
+                on = np.flatnonzero(lang == k)
+                if len(on) and len(known):
+                    at = np.minimum(np.searchsorted(known, codes[on]), len(known) - 1)
+                    rows[on] = np.where(known[at] == codes[on], row[at], -1)
+            keep = rows >= 0
+            # terms that share a row count once in a sentence
+            key = np.unique(sentence[keep].astype(np.int64) << 32 | rows[keep])
+            sentence, rows = key >> 32, (key & 0xFFFFFFFF).astype(np.int32)
+            left, size = np.unique(sentence, return_counts=True)
+            of = np.repeat(np.arange(b.num_rows), per_doc)[left]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(of, weights=size, minlength=b.num_rows).astype(np.int64))])
+            first = np.cumsum(size) - size - ends[of]
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=b.num_rows))])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(first.astype(np.int32))), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(rows))],
+                names=["doc_id", "lang", "starts", "terms"],
+            )
 
     return run
 
@@ -151,8 +210,13 @@ class Block:
 
 
 def _summed(encoded: DataFrame, step: Callable[[Block, int, np.ndarray], None], shapes: list[tuple[int, ...]]) -> list[np.ndarray]:
-    """Sums over all documents, an array per language. Tasks add up in two levels; the driver gets 16 blocks at most."""
+    """Sums over all documents, an array per language.
+
+    There are no more partial sums than the session's width of a stage, however many files; FAN_IN of them meet in a task,
+    level by level, and the driver gets as many at most.
+    """
     sizes = [int(np.prod(s)) for s in shapes]
+    n = min(encoded.rdd.getNumPartitions(), max(FAN_IN, parallelism(encoded.sparkSession)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc = [np.zeros(s) for s in shapes]
@@ -160,41 +224,46 @@ def _summed(encoded: DataFrame, step: Callable[[Block, int, np.ndarray], None],
             for k in range(len(LANGS)):
                 if sizes[k] and len((block := Block(b, k)).terms):
                     step(block, k, acc[k])
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 16], pa.int32()), pa.array([np.concatenate([a.ravel() for a in acc]).tobytes()], pa.binary())], names=["k", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() // FAN_IN], pa.int32()), pa.array([np.concatenate([a.ravel() for a in acc]).astype(np.float32).tobytes()], pa.binary())], names=["k", "v"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for b in batches:
             for v in b.column(1):
-                x = np.frombuffer(v.as_buffer(), dtype=np.float64)
-                total = x.copy() if total is None else total + x
+                x = np.frombuffer(v.as_buffer(), dtype=np.float32)
+                total = x.astype(np.float64) if total is None else total + x
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() // FAN_IN], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["k", "v"])
 
-    parts = encoded.mapInArrow(run, "k int, v binary").repartitionById(16, F.col("k")).mapInArrow(add, "v binary").collect()
-    flat = sum((np.frombuffer(r[0], dtype=np.float64) for r in parts), np.zeros(sum(sizes)))
+    parts = encoded.coalesce(n).mapInArrow(run, "k int, v binary")
+    while n > FAN_IN:
+        n = -(-n // FAN_IN)
+        parts = parts.repartitionById(n, F.col("k")).mapInArrow(add, "k int, v binary")
+    flat = sum((np.frombuffer(r[1], dtype=np.float32).astype(np.float64) for r in parts.collect()), np.zeros(sum(sizes)))
     return [x.reshape(s) for x, s in zip(np.split(flat, np.cumsum(sizes)[:-1]), shapes, strict=True)]
 
 
 def basis(encoded: DataFrame, weights: list[np.ndarray], dimensions: int = DIMENSIONS, passes: int = PASSES) -> list[np.ndarray]:
-    """Right singular vectors of the weighted documents per language, by subspace iteration over all documents."""
+    """Right singular vectors of the weighted documents per language, by randomised subspace iteration over all documents."""
     q = [np.random.default_rng(k).standard_normal((len(w), min(dimensions, len(w)))) for k, w in enumerate(weights)]
     for _ in range(passes):
 
         def step(block: Block, k: int, acc: np.ndarray, q: list = q) -> None:
-            w = weights[k]
-            of = block.doc[block.sentence]
-            size = max(1, 4_000_000 // max(1, len(w)))
-            cuts = np.searchsorted(of, np.arange(0, block.n_docs + size, size))
-            for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                if a == b:
-                    continue
-                n = min(size, block.n_docs - i * size)
-                m = np.bincount((of[a:b] - i * size) * len(w) + block.terms[a:b], minlength=n * len(w)).reshape(n, len(w)).astype(np.float32)
-                np.log1p(m, out=m, where=m > 0)
-                m *= w.astype(np.float32)
-                m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
-                acc += m.T @ (m @ q[k].astype(np.float32))
+            now, v = q[k].astype(np.float32), len(weights[k])
+            key, n = np.unique(block.doc[block.sentence] * v + block.terms, return_counts=True)
+            doc, term = key // v, key % v
+            x = np.log1p(n) * weights[k][term]
+            x = (x / np.maximum(np.sqrt(np.bincount(doc, weights=x * x, minlength=block.n_docs)), 1e-9)[doc]).astype(np.float32)
+            cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+            # whole documents, about 200,000 terms at a time
+            for part in np.split(cuts, np.flatnonzero(np.diff(cuts // 200_000)) + 1):
+                a, b = part[0], (cuts[np.searchsorted(cuts, part[-1]) + 1] if part[-1] != cuts[-1] else len(doc))
+                t, w = term[a:b], x[a:b, None]
+                y = np.add.reduceat(w * now[t], part - a, axis=0)
+                order = np.argsort(t, kind="stable")
+                first = np.flatnonzero(np.concatenate([[True], t[order][1:] != t[order][:-1]]))
+                of = np.repeat(np.arange(len(part)), np.diff(np.append(part, b)))
+                acc[t[order][first]] += np.add.reduceat((w * y[of])[order], first, axis=0)
 
         q = [np.linalg.qr(x)[0] if x.size else x for x in _summed(encoded, step, [x.shape for x in q])]
     return q
@@ -208,7 +277,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def _best(block: Block, w: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Best subject and its cosine for each sentence. table: terms by subjects."""
     x = block.weights(w)
-    scores = np.stack([np.bincount(block.sentence, weights=x * table[block.terms, s], minlength=len(block.start)) for s in range(table.shape[1])], axis=1)
+    scores = np.add.reduceat(x[:, None] * table[block.terms], block.start, axis=0)
     best = scores.argmax(axis=1)
     return best, scores[np.arange(len(best)), best]
 
@@ -241,11 +310,16 @@ def centroids(encoded: DataFrame, weights: list[np.ndarray], q: list[np.ndarray]
             x, of = block.weights(w), block.doc[block.sentence]
             n_sent = np.bincount(block.doc, minlength=block.n_docs)
             v = len(w)
+            # sums over all known documents, less those of the subject: the other side
+            every = np.bincount(block.terms, weights=x * known[of], minlength=v)
+            n_every = (n_sent * known).sum()
             for s in range(n):
-                for side, factor in ((0, part[:, s]), (1, (known & (share[:, s] == 0)).astype(float))):
-                    on = factor[of] > 0
-                    acc[s, side, :v] += np.bincount(block.terms[on], weights=(x * factor[of])[on], minlength=v)
-                    acc[s, side, v] += (n_sent * factor).sum()
+                has = share[:, s] > 0
+                on = np.flatnonzero(has[of])
+                acc[s, 0, :v] += np.bincount(block.terms[on], weights=x[on] * part[of[on], s], minlength=v)
+                acc[s, 0, v] += (n_sent * part[:, s]).sum()
+                acc[s, 1, :v] += every - np.bincount(block.terms[on], weights=x[on] * known[of[on]], minlength=v)
+                acc[s, 1, v] += n_every - (n_sent * (known & has)).sum()
 
         sums = _summed(encoded, step, [(n, 2, len(w) + 1) if len(w) else (0,) for w in weights])
         new = []
@@ -263,11 +337,11 @@ def centroids(encoded: DataFrame, weights: list[np.ndarray], q: list[np.ndarray]
 
 
 def _frames(block: Block, topical: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """Bucket of each sentence's words other than topical ones."""
+    """Of each sentence, a 63-bit sum over its words other than topical ones."""
     on = ~topical[block.terms]
     sums = np.zeros(len(block.start), dtype=np.uint64)
     np.add.at(sums, block.sentence[on], marks[block.terms[on]])
-    return (sums % np.uint64(BUCKETS)).astype(np.int64)
+    return (sums & np.uint64((1 << 63) - 1)).astype(np.int64)
 
 
 def subjects(docs: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, label: str, names: list[str], none: str = "general") -> DataFrame:
@@ -275,24 +349,34 @@ def subjects(docs: DataFrame, key: str, text: str, labels: DataFrame, label_key:
 
     ``labels`` holds ``(label_key, label)`` rows, with noise and repetitions; labels that are neither in ``names`` nor
     ``none`` are ignored. Null, empty and foreign texts get ``none``; without labels every document does. Texts of any
-    length are read whole.
+    length are read whole. Rows that share a key are judged each for itself.
     """
     spark, n = docs.sparkSession, len(names)
     kind = dict(docs.dtypes)[key]
     wanted = labels.where(F.col(label).isin([*names, none]) & F.col(label_key).isNotNull()).groupBy(F.col(label_key).alias("k")).agg(F.collect_set(label).alias("s"))
     number = {s: i for i, s in enumerate([*names, none])}
     seeds = {r["k"]: [number[s] for s in r["s"]] for r in wanted.orderBy(F.xxhash64("k"), "k").limit(LABELLED).collect()}
-    terms, weights = vocabulary(docs, text)
-    codes = [{w: i for i, w in enumerate(t)} for t in terms]
-    encoded = written(docs.select(key, text).mapInArrow(_encode(codes), f"doc_id {kind}, lang int, starts array<int>, terms array<int>"), "encoded")
+    hashed = written(docs.select(key, text).mapInArrow(_hash, f"doc_id {kind}, lang int, starts array<int>, codes array<long>"), "hashed")
+    terms = vocabulary(hashed)
+    weights = [t[2] for t in terms]
+    encoded = written(hashed.mapInArrow(_encode(spark.sparkContext.broadcast(terms)), f"doc_id {kind}, lang int, starts array<int>, terms array<int>"), "encoded")
+    dropped(spark, hashed)
     q = basis(encoded, weights)
     cent = centroids(encoded, weights, q, seeds, n)
-    tables = [a @ c.T for a, c in zip(q, cent, strict=True)]
+    tables = [(a @ c.T).astype(np.float32) for a, c in zip(q, cent, strict=True)]
     topical = [(_unit(a) @ c.T).max(axis=1, initial=0) > TOPICAL if a.size else np.zeros(0, dtype=bool) for a, c in zip(q, cent, strict=True)]
     marks = [np.random.default_rng(99 + k).integers(1, 1 << 62, len(w)).astype(np.uint64) for k, w in enumerate(weights)]
+    model = spark.sparkContext.broadcast((weights, tables, topical, marks))
 
-    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each sentence that may be of a subject, and one without a subject for each document."""
+        weights, tables, topical, marks = model.value
+        row = TaskContext.get().partitionId() << 40
         for b in batches:
+            at = row + np.arange(b.num_rows)
+            row += b.num_rows
+            none_of = pa.nulls(b.num_rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at), none_of, pa.nulls(b.num_rows, pa.float64()), pa.nulls(b.num_rows, pa.int64()), pa.nulls(b.num_rows, pa.int64())], names=["doc_id", "row", "best", "top", "frame", "agree"])
             for k in range(len(LANGS)):
                 block = Block(b, k)
                 if not len(block.terms):
@@ -301,35 +385,23 @@ def subjects(docs: DataFrame, key: str, text: str, labels: DataFrame, label_key:
                 sure = top > SURE
                 others = _counts(block, best, sure, n)[block.doc, best] - sure
                 on = np.flatnonzero(top > MAYBE)
-                bucket, inverse = np.unique(_frames(block, topical[k], marks[k])[on], return_inverse=True)
+                frame = _frames(block, topical[k], marks[k])[on]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(bucket), k, dtype=np.int32)), pa.array(bucket), pa.array(np.bincount(inverse, minlength=len(bucket))), pa.array(np.bincount(inverse, weights=others[on] >= 1, minlength=len(bucket)).astype(np.int64))],
-                    names=["lang", "bucket", "n", "agree"],
+                    [block.ids.take(pa.array(block.doc[on])), pa.array(at[block.rows[block.doc[on]]]), pa.array(best[on].astype(np.int32)), pa.array(top[on].astype(float)), pa.array(frame), pa.array((others[on] >= 1).astype(np.int64))],
+                    names=["doc_id", "row", "best", "top", "frame", "agree"],
                 )
 
-    # at most BUCKETS rows per language
-    known = encoded.mapInArrow(frames, "lang int, bucket long, n long, agree long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"), F.sum("agree").alias("agree")).where(F.col("n") >= FRAME_ROWS).collect()
-    state = np.zeros((len(LANGS), BUCKETS), dtype=np.int8)  # 0 unknown, 1 treats, -1 in passing
-    for r in known:
-        state[r["lang"], r["bucket"]] = 1 if 2 * r["agree"] >= r["n"] else -1
-    shared = spark.sparkContext.broadcast(state)
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            has = np.zeros((b.num_rows, n + 1), dtype=bool)
-            for k in range(len(LANGS)):
-                block = Block(b, k)
-                if not len(block.terms):
-                    continue
-                best, top = _best(block, weights[k], tables[k])
-                s = shared.value[k][_frames(block, topical[k], marks[k])]
-                on = (top > MAYBE) & ((s == 1) | ((s == 0) & (top > ALONE)))
-                has[block.rows, :n] = _counts(block, best, on, n) >= SENTENCES
-            has[:, n] = ~has.any(axis=1)
-            row, s = np.nonzero(has)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array([*names, none]).take(pa.array(s))], names=["doc_id", "subject"])
-
-    return encoded.mapInArrow(assign, f"doc_id {kind}, subject string")
+    found = written(encoded.mapInArrow(judge, f"doc_id {kind}, row long, best int, top double, frame long, agree long"), "sentences")
+    dropped(spark, encoded)
+    # marks differ between languages, so a frame is of one language
+    known = found.where("frame is not null").groupBy("frame").agg(F.count(F.lit(1)).alias("n"), F.sum("agree").alias("a")).where(F.col("n") >= FRAME_ROWS)
+    known = written(known.select("frame", (2 * F.col("a") >= F.col("n")).alias("treats")), "frames")
+    treats = F.coalesce(F.col("treats"), F.col("top") > ALONE)
+    judged = hot_join(found, known, "frame").where(F.col("best").isNull() | treats)
+    per = judged.groupBy("doc_id", "row", "best").agg(F.count(F.lit(1)).alias("n")).where(F.col("best").isNull() | (F.col("n") >= SENTENCES))
+    of = per.groupBy("doc_id", "row").agg(F.array_compact(F.collect_list("best")).alias("s"))  # as many as there are subjects
+    subject = F.when(F.size("s") > 0, F.transform("s", lambda k: F.array(*[F.lit(x) for x in names])[k])).otherwise(F.array(F.lit(none)))
+    return of.select("doc_id", F.explode(subject).alias("subject"))
 
 
 def shares(assigned: DataFrame) -> DataFrame:
