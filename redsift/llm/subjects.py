@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from redsift.session import dropped, parallelism, written
 
 #: At most this many labelled documents (those with the least hashes) seed the centroids.
 LABELLED = 50_000
-DIMENSIONS, PASSES, ROUNDS = 64, 2, 3
+DIMENSIONS, PASSES, ROUNDS = 64, 3, 3
 #: Terms of a language, the most frequent first: each of the first EXACT has a row of the basis of its own, the others share
 #: as many by hash. No more than TERMS are known at all (a documented bound of the model).
 EXACT, TERMS = 1 << 14, 1 << 18
@@ -40,8 +41,8 @@ LEAST_DF, NEUTRAL = 3, 0.25
 MAYBE, SURE, ALONE, TOPICAL = 0.1, 0.25, 0.16, 0.4
 #: A frame is known from so many sentences; sentences that a document needs for a subject.
 FRAME_ROWS, SENTENCES = 6, 2
-#: Partial sums that one task adds up.
-FAN_IN = 16
+#: Partial sums that one task adds up; documents of a small matrix.
+FAN_IN, DOCS = 16, 256
 #: Function words that tell languages apart.
 FUNCTION_WORDS = {
     "en": "the of and in to a is at that on by with was for",
@@ -51,70 +52,84 @@ FUNCTION_WORDS = {
 }
 LANGS = tuple(FUNCTION_WORDS)
 _FUNCTION = [frozenset(w.split()) for w in FUNCTION_WORDS.values()]
-_WORD = re.compile(r"[^\W\d_]+(?:[-‐‑][^\W\d_]+)*")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n\s*\n|\n(?=[A-Z>])")
+#: A sentence ends behind a mark, at an empty line, and before a line that begins with a capital or a quotation.
+_ENDS = [re.compile(x) for x in (r"[.!?]\s+", r"\n\s*\n", r"\n(?=[A-Z>])")]
 _TAG = re.compile(r"<[^<>]{0,200}>")
+_WORD = re.compile(r"[^\W\d_]+(?:[-‐‑][^\W\d_]+)*|[\1\2]")
+_MARKS = {1: " ", 2: " "}
+#: ASCII bytes of words in lower case, everything else a space; \1 stands for the end of a sentence, \2 for that of a text.
+_PLAIN = bytes(ord(chr(c).lower()) if chr(c).isalpha() or chr(c) in "-\1\2" else 32 for c in range(128)) + b" " * 128
+
+
+def tokens(texts: list[str]) -> list[str]:
+    """Words of the texts, lower case, without digits and tags, with \\1 after sentences and \\2 after each text. A word may
+    have hyphens at its ends, which are no part of it."""
+    out: list[str] = []
+    for plain, run in groupby(texts, str.isascii):
+        big = "\2".join([t.translate(_MARKS) if "\1" in t or "\2" in t else t for t in run]) + "\2"
+        big = big if plain else unicodedata.normalize("NFKC", big)
+        big = _TAG.sub(" ", big) if "<" in big else big
+        for end in _ENDS:
+            big = end.sub(" \1 ", big)
+        if plain:
+            out += big.replace("\2", " \2 ").encode().translate(_PLAIN).replace(b"--", b" ").decode().split()
+        else:
+            out += _WORD.findall(big.lower())
+    return out
 
 
 def sentences(text: str | None) -> list[list[str]]:
-    """Words of each sentence, lower case, without digits and tags."""
-    if not text:
-        return []
-    if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
-    if "<" in text:
-        text = _TAG.sub(" ", text)
-    out = (_WORD.findall(s.lower()) for s in _SENTENCE.split(text))
+    """Words of each sentence of one text."""
+    out: list[list[str]] = [[]]
+    for w in tokens([text or ""]):
+        if w in ("\1", "\2"):
+            out.append([])
+        elif w.strip("-"):
+            out[-1].append(w.strip("-"))
     return [w for w in out if w]
 
 
+#: Codes of what is no word: the end of a sentence, that of a text, and a lone hyphen.
+SENTENCE, TEXT, NOTHING = 1, 2, 3
+
+
 class _Codes(dict):
     """Signed 64-bit hashes of words, kept while a worker lives."""
 
     def __missing__(self, word: str) -> int:
         if len(self) > 1_000_000:
             self.clear()
-        code = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 7) - (1 << 63)
+            self.update({"\1": SENTENCE, "\2": TEXT})
+        bare = word.strip("-")
+        code = self[word] = xxhash.xxh64_intdigest(bare.encode("utf-8", "surrogatepass"), 7) - (1 << 63) if bare else NOTHING
         return code
 
 
-_CODES = _Codes()
+_CODES = _Codes({"\1": SENTENCE, "\2": TEXT})
 
 
 # ---------------------------------------------------------------- passes over all documents
 
 
 def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each document its language (that with the most function words, the first on a tie), and the distinct words of its
+    """Of each document its language (that with the most function words, the first on a tie), and the words of its
     sentences as hashes, one sentence after the other, with the place where each begins."""
-    known = np.array(sorted((_CODES[w], k) for k, f in enumerate(_FUNCTION) for w in f))
+    own = [np.array(sorted(_CODES[w] for w in f)) for f in _FUNCTION]
+    every = np.unique(np.concatenate(own))
+    has = lambda known, x: known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
     for b in batches:
-        flat: list[str] = []
-        sizes: list[int] = []  # of each sentence
-        per_doc = np.zeros(b.num_rows, dtype=np.int64)
-        for i, t in enumerate(b.column(1).to_pylist()):
-            found = sentences(t)
-            per_doc[i] = len(found)
-            for x in found:
-                flat += x
-                sizes.append(len(x))
+        flat = tokens([t or "" for t in b.column(1).to_pylist()])
         codes = np.fromiter(map(_CODES.__getitem__, flat), dtype=np.int64, count=len(flat))
-        sentence = np.repeat(np.arange(len(sizes)), sizes)
-        doc = np.repeat(np.arange(b.num_rows), per_doc)
-        votes = np.zeros((b.num_rows, len(LANGS)), dtype=np.int64)
-        for k in range(len(LANGS)):
-            mine = known[known[:, 1] == k, 0]
-            hit = mine[np.minimum(np.searchsorted(mine, codes), len(mine) - 1)] == codes
-            votes[:, k] = np.bincount(doc[sentence[hit]], minlength=b.num_rows)
-        order = np.lexsort((codes, sentence))
-        codes, sentence = codes[order], sentence[order]
-        first = np.ones(len(codes), dtype=bool)
-        first[1:] = (codes[1:] != codes[:-1]) | (sentence[1:] != sentence[:-1])
-        codes, sentence = codes[first], sentence[first]
-        size = np.bincount(sentence, minlength=len(sizes))
-        words = np.concatenate([[0], np.cumsum(np.bincount(doc, weights=size, minlength=b.num_rows).astype(np.int64))])
-        starts = np.cumsum(size) - size - words[doc]
-        offsets = np.concatenate([[0], np.cumsum(per_doc)])
+        text = codes == TEXT
+        doc, sentence = np.cumsum(text), np.cumsum(text | (codes == SENTENCE))
+        keep = (codes < SENTENCE) | (codes > NOTHING)
+        codes, doc, sentence = codes[keep], doc[keep], sentence[keep]
+        hit = np.flatnonzero(has(every, codes))
+        votes = np.stack([np.bincount(doc[hit][has(k, codes[hit])], minlength=b.num_rows) for k in own], axis=1)
+        first = np.flatnonzero(np.concatenate([[True], sentence[1:] != sentence[:-1]])) if len(codes) else np.zeros(0, dtype=np.int64)
+        words = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=b.num_rows))])
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(doc[first], minlength=b.num_rows))])
+        starts = first - words[doc[first]]
         yield pa.RecordBatch.from_arrays(
             [b.column(0), pa.array(votes.argmax(axis=1).astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(starts.astype(np.int32))), pa.ListArray.from_arrays(pa.array(words.astype(np.int32)), pa.array(codes))],
             names=["doc_id", "lang", "starts", "codes"],
@@ -148,6 +163,12 @@ def vocabulary(hashed: DataFrame, exact: int = EXACT, terms: int = TERMS) -> lis
     return out
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Distinct values in ascending order (sorting whole numbers is faster than hashing them)."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def _encode(shared: Broadcast) -> Callable:
     """Words to rows of the basis; words that are no terms and sentences without any are left out."""
 
@@ -170,9 +191,10 @@ def _encode(shared: Broadcast) -> Callable:
                     rows[on] = np.where(known[at] == codes[on], row[at], -1)
             keep = rows >= 0
             # terms that share a row count once in a sentence
-            key = np.unique(sentence[keep].astype(np.int64) << 32 | rows[keep])
+            key = _distinct(sentence[keep].astype(np.int64) << 32 | rows[keep])
             sentence, rows = key >> 32, (key & 0xFFFFFFFF).astype(np.int32)
-            left, size = np.unique(sentence, return_counts=True)
+            begin = np.flatnonzero(np.concatenate([[True], sentence[1:] != sentence[:-1]])) if len(sentence) else np.zeros(0, dtype=np.int64)
+            left, size = sentence[begin], np.diff(np.append(begin, len(sentence)))
             of = np.repeat(np.arange(b.num_rows), per_doc)[left]
             ends = np.concatenate([[0], np.cumsum(np.bincount(of, weights=size, minlength=b.num_rows).astype(np.int64))])
             first = np.cumsum(size) - size - ends[of]
@@ -250,20 +272,19 @@ def basis(encoded: DataFrame, weights: list[np.ndarray], dimensions: int = DIMEN
 
         def step(block: Block, k: int, acc: np.ndarray, q: list = q) -> None:
             now, v = q[k].astype(np.float32), len(weights[k])
-            key, n = np.unique(block.doc[block.sentence] * v + block.terms, return_counts=True)
-            doc, term = key // v, key % v
+            key = np.sort(block.doc[block.sentence] * v + block.terms)
+            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            n, (doc, term) = np.diff(np.append(at, len(key))), np.divmod(key[at], v)
             x = np.log1p(n) * weights[k][term]
             x = (x / np.maximum(np.sqrt(np.bincount(doc, weights=x * x, minlength=block.n_docs)), 1e-9)[doc]).astype(np.float32)
-            cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-            # whole documents, about 200,000 terms at a time
-            for part in np.split(cuts, np.flatnonzero(np.diff(cuts // 200_000)) + 1):
-                a, b = part[0], (cuts[np.searchsorted(cuts, part[-1]) + 1] if part[-1] != cuts[-1] else len(doc))
-                t, w = term[a:b], x[a:b, None]
-                y = np.add.reduceat(w * now[t], part - a, axis=0)
-                order = np.argsort(t, kind="stable")
-                first = np.flatnonzero(np.concatenate([[True], t[order][1:] != t[order][:-1]]))
-                of = np.repeat(np.arange(len(part)), np.diff(np.append(part, b)))
-                acc[t[order][first]] += np.add.reduceat((w * y[of])[order], first, axis=0)
+            # a few documents at a time, as a matrix over the terms they have
+            cuts = np.searchsorted(doc, np.arange(0, block.n_docs + DOCS, DOCS))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a < b:
+                    mine, column = np.unique(term[a:b], return_inverse=True)
+                    m = np.zeros((DOCS, len(mine)), dtype=np.float32)
+                    m[doc[a:b] % DOCS, column] = x[a:b]
+                    acc[mine] += m.T @ (m @ now[mine])
 
         q = [np.linalg.qr(x)[0] if x.size else x for x in _summed(encoded, step, [x.shape for x in q])]
     return q
