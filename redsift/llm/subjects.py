@@ -111,9 +111,23 @@ _CODES = _Codes({"\1": SENTENCE, "\2": TEXT})
 # ---------------------------------------------------------------- passes over all documents
 
 
+def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Whole numbers of each row as bytes: the JVM moves them without looking into them. ends: of the rows, from 0."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _unpacked(column: pa.Array, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows, and how many each row has."""
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int32, count=len(column) + 1, offset=4 * column.offset) if len(column) else np.zeros(1, dtype=np.int32)
+    size = np.dtype(dtype).itemsize
+    n = int(ends[-1] - ends[0]) // size
+    return (np.frombuffer(column.buffers()[2], dtype=dtype, count=n, offset=int(ends[0])) if n else np.zeros(0, dtype=dtype)), np.diff(ends) // size
+
+
 def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each document its language (that with the most function words, the first on a tie), and the words of its
-    sentences as hashes, one sentence after the other, with the place where each begins."""
+    sentences as hashes, one sentence after the other, with the place where each begins. Then a row for each word of the
+    batch and language: in how many documents it occurs."""
     own = [np.array(sorted(_CODES[w] for w in f)) for f in _FUNCTION]
     every = np.unique(np.concatenate(own))
     has = lambda known, x: known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
@@ -130,20 +144,31 @@ def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=b.num_rows))])
         offsets = np.concatenate([[0], np.cumsum(np.bincount(doc[first], minlength=b.num_rows))])
         starts = first - words[doc[first]]
+        lang = votes.argmax(axis=1).astype(np.int32)
+        none = pa.nulls(b.num_rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang), _packed(starts.astype(np.int32), offsets), _packed(codes, words), none, none], names=HASHED)
+        known = _distinct(codes)
+        pair = _distinct(doc * max(len(known), 1) + np.searchsorted(known, codes))
+        n = np.bincount(lang[pair // max(len(known), 1)] * len(known) + pair % max(len(known), 1), minlength=len(LANGS) * len(known))
+        at = np.flatnonzero(n)
+        none = pa.nulls(len(at))
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(votes.argmax(axis=1).astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(starts.astype(np.int32))), pa.ListArray.from_arrays(pa.array(words.astype(np.int32)), pa.array(codes))],
-            names=["doc_id", "lang", "starts", "codes"],
+            [none.cast(b.column(0).type), pa.array((at // max(len(known), 1)).astype(np.int32)), none.cast(pa.binary()), none.cast(pa.binary()), pa.array(known[at % max(len(known), 1)] if len(known) else known), pa.array(n[at])],
+            names=HASHED,
         )
 
 
+HASHED = ["doc_id", "lang", "starts", "codes", "code", "n"]
+
+
 def vocabulary(hashed: DataFrame, exact: int = EXACT, terms: int = TERMS) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per language the hashes of its terms in ascending order, the row of the basis of each, and the weights of the rows.
 
     Terms are the most frequent words by documents, without names."""
     spark = hashed.sparkSession
-    counts = hashed.select("lang", F.explode(F.array_distinct("codes")).alias("code")).groupBy("lang", "code").agg(F.count(F.lit(1)).alias("n"))
+    counts = hashed.where("n is not null").select("lang", "code", "n")
     sizes = [0] * len(LANGS)
-    for r in hashed.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect():
+    for r in hashed.where("n is null").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect():
         sizes[r["lang"]] = r["n"]
     wide = written(counts.groupBy("code").agg(*[F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(len(LANGS))]), "terms")
     out = []
@@ -175,12 +200,9 @@ def _encode(shared: Broadcast) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             langs = b.column(1).to_numpy()
-            s, c = b.column(2), b.column(3)
-            codes = c.flatten().to_numpy()
-            words = np.diff(c.offsets.to_numpy())
+            (start, per_doc), (codes, words) = _unpacked(b.column(2), np.int32), _unpacked(b.column(3), np.int64)
             base = np.cumsum(words) - words
-            per_doc = np.diff(s.offsets.to_numpy())
-            start = s.flatten().to_numpy() + np.repeat(base, per_doc)
+            start = start + np.repeat(base, per_doc)
             sentence = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(codes))))
             lang = np.repeat(langs, words)
             rows = np.full(len(codes), -1, dtype=np.int32)
@@ -199,10 +221,7 @@ def _encode(shared: Broadcast) -> Callable:
             ends = np.concatenate([[0], np.cumsum(np.bincount(of, weights=size, minlength=b.num_rows).astype(np.int64))])
             first = np.cumsum(size) - size - ends[of]
             offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=b.num_rows))])
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(first.astype(np.int32))), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(rows))],
-                names=["doc_id", "lang", "starts", "terms"],
-            )
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _packed(first.astype(np.int32), offsets), _packed(rows, ends)], names=["doc_id", "lang", "starts", "terms"])
 
     return run
 
@@ -214,14 +233,11 @@ class Block:
         self.rows = np.flatnonzero(batch.column(1).to_numpy() == lang)
         part = batch.take(pa.array(self.rows))
         self.ids = part.column(0)
-        s, t = part.column(2), part.column(3)
-        self.terms = t.flatten().to_numpy().astype(np.int64)
-        ends = np.cumsum(np.diff(t.offsets.to_numpy())).astype(np.int64)
-        base = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-        n = np.diff(s.offsets.to_numpy())
+        (start, n), (terms, words) = _unpacked(part.column(2), np.int32), _unpacked(part.column(3), np.int32)
+        self.terms = terms.astype(np.int64)
         self.n_docs = len(self.rows)
         self.doc = np.repeat(np.arange(self.n_docs), n)  # of each sentence
-        self.start = s.flatten().to_numpy().astype(np.int64) + np.repeat(base, n)
+        self.start = start + np.repeat(np.cumsum(words) - words, n)
         self.size = np.diff(np.append(self.start, len(self.terms)))
         self.sentence = np.repeat(np.arange(len(self.start)), self.size)  # of each term
 
@@ -377,10 +393,10 @@ def subjects(docs: DataFrame, key: str, text: str, labels: DataFrame, label_key:
     wanted = labels.where(F.col(label).isin([*names, none]) & F.col(label_key).isNotNull()).groupBy(F.col(label_key).alias("k")).agg(F.collect_set(label).alias("s"))
     number = {s: i for i, s in enumerate([*names, none])}
     seeds = {r["k"]: [number[s] for s in r["s"]] for r in wanted.orderBy(F.xxhash64("k"), "k").limit(LABELLED).collect()}
-    hashed = written(docs.select(key, text).mapInArrow(_hash, f"doc_id {kind}, lang int, starts array<int>, codes array<long>"), "hashed")
+    hashed = written(docs.select(key, text).mapInArrow(_hash, f"doc_id {kind}, lang int, starts binary, codes binary, code long, n long"), "hashed")
     terms = vocabulary(hashed)
     weights = [t[2] for t in terms]
-    encoded = written(hashed.mapInArrow(_encode(spark.sparkContext.broadcast(terms)), f"doc_id {kind}, lang int, starts array<int>, terms array<int>"), "encoded")
+    encoded = written(hashed.where("n is null").select("doc_id", "lang", "starts", "codes").mapInArrow(_encode(spark.sparkContext.broadcast(terms)), f"doc_id {kind}, lang int, starts binary, terms binary"), "encoded")
     dropped(spark, hashed)
     q = basis(encoded, weights)
     cent = centroids(encoded, weights, q, seeds, n)
