@@ -52,8 +52,8 @@ class Wavelet:
 
     def _ones(self, level: int, i: np.ndarray) -> np.ndarray:
         w = i >> 6
-        mask = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
-        return self.blocks[level][w] + np.bitwise_count(self.words[level][w] & mask).astype(np.int64)
+        mask = (np.uint64(1) << (i & 63).view(np.uint64)) - np.uint64(1)
+        return self.blocks[level][w] + np.bitwise_count(self.words[level][w] & mask)
 
     def rank(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
         """Occurrences of c before position i, for arrays of both."""

@@ -13,6 +13,7 @@ import unicodedata
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,23 +37,33 @@ ALTERED, GAP = 3, 12
 SHARD_WORDS, BLOCK_ITEMS = 1_000_000, 2_000
 
 _WORD = re.compile(r"[^\W_]+")
-_UNSEEN = re.compile("[­​-‏⁠﻿]")
+_UNSEEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _BROKEN = re.compile(r"(?<=[a-z])[-‐‑]\r?\n[>\s]*(?=[a-z])")
 _TAG = re.compile(r"<[^<>]{0,200}>")
+#: ASCII letters and digits, everything else a space.
+_PLAIN = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in range(256))
 
 
 def words(text: str | None) -> list[str]:
     """Words of a text: runs of letters and digits, compatibility forms resolved, without case, tags and soft hyphens."""
     if not text:
         return []
-    if not text.isascii():
+    plain = text.isascii()
+    if not plain:
         text = _UNSEEN.sub("", unicodedata.normalize("NFKC", text))
     text = text.lower()
     if "\n" in text:
         text = _BROKEN.sub("", text)
     if "<" in text:
         text = _TAG.sub(" ", text)
-    return _WORD.findall(text)
+    return text.encode().translate(_PLAIN).decode().split() if plain else _WORD.findall(text)
+
+
+def item_words(items: list[tuple[int, str | None]]) -> dict[int, list[str]]:
+    """Words of each item without a shared opening sentence."""
+    first = {k: re.match(r"[^.?!]*[.?!]", t or "") for k, t in items}
+    n = Counter(m.group(0).strip().lower() for m in first.values() if m)
+    return {k: words(t[m.end() :] if (m := first[k]) and n[m.group(0).strip().lower()] > SHARED else t) for k, t in items}
 
 
 def words_at(text: str) -> list[tuple[int, int]]:
@@ -81,13 +92,6 @@ def words_at(text: str) -> list[tuple[int, int]]:
     return found if len(found) == n else [(0, len(text))] * n
 
 
-def item_words(items: list[tuple[int, str | None]]) -> dict[int, list[str]]:
-    """Words of each item without a shared opening sentence."""
-    first = {k: re.match(r"[^.?!]*[.?!]", t or "") for k, t in items}
-    n = Counter(m.group(0).strip().lower() for m in first.values() if m)
-    return {k: words(t[m.end() :] if (m := first[k]) and n[m.group(0).strip().lower()] > SHARED else t) for k, t in items}
-
-
 class Items:
     """A block of items as one array of symbols (0 separates, 1 is any word of no item)."""
 
@@ -246,7 +250,8 @@ def shard_leaks(texts: list[str | None], items: Items, share: float = SHARE) ->
     parts, kept, starts, n = [], [], [], 0
     k = GAP * 2
     for t in texts:
-        s = np.array([get(w, 1) for w in words(t)], dtype=np.int64)
+        found = words(t)
+        s = np.fromiter(map(get, found, repeat(1)), dtype=np.int64, count=len(found))
         near = np.arange(len(s))
         if len(s) > k:  # a run of foreign words is one symbol for each of its first few, so gaps stay gaps
             c = np.cumsum(s != 1)
