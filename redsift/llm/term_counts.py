@@ -9,6 +9,7 @@ all terms, and a hot term is one row per batch before it is spilled.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 from collections.abc import Iterator
 
@@ -17,12 +18,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redsift.session import shared_path
+from redsift.session import deleted, shared_path, written
 
 TERM = r"[A-Za-z0-9][A-Za-z0-9-]*"
 BITS = 4
 ROWS = 2_000_000
-DUCK_MEMORY = "256MB"
+DUCK_MEMORY, DUCK_ALONE = "256MB", "1GB"
 OUT_ROWS = 50_000
 
 
@@ -58,16 +59,16 @@ def _aggregated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for uri in b.column(0).to_pylist():
             system, path = fs.FileSystem.from_uri(uri)
-            # spill beside the table where that is a folder, else in the task's own scratch
-            own = tempfile.mkdtemp(dir=os.path.dirname(path) if isinstance(system, fs.LocalFileSystem) else None)
-            c = duckdb.connect(config={"memory_limit": DUCK_MEMORY, "threads": 1, "temp_directory": own})
+            # out of core beside the table where the shared folder is mounted; an object store offers no place to spill to, but
+            # a partition has ROWS rows at most or one term only, so memory suffices there
+            own = tempfile.mkdtemp(dir=os.path.dirname(path)) if isinstance(system, fs.LocalFileSystem) else ""
+            c = duckdb.connect(config={"memory_limit": DUCK_MEMORY if own else DUCK_ALONE, "threads": 1, "temp_directory": own})
             c.register("spilled", ds.dataset(path, filesystem=system, format="parquet", exclude_invalid_files=False))
             got = c.sql("select term, sum(n_occurrences)::bigint n_occurrences, sum(n_records)::bigint n_records from spilled group by term")
             yield from got.to_arrow_reader(OUT_ROWS) if hasattr(got, "to_arrow_reader") else got.fetch_arrow_reader(OUT_ROWS)
             c.close()
-            for f in os.listdir(own):
-                os.remove(os.path.join(own, f))
-            os.rmdir(own)
+            if own:
+                shutil.rmtree(own)
 
 
 def term_counts(records: DataFrame, text: str, rows: int = ROWS, bits: int = BITS) -> DataFrame:
@@ -81,8 +82,11 @@ def term_counts(records: DataFrame, text: str, rows: int = ROWS, bits: int = BIT
     part = records.where(F.col(text).isNotNull()).select(terms(text).alias("terms")).mapInArrow(_partial, schema)
     radix = lambda depth: F.shiftright(F.shiftleft("h", bits * depth), 64 - bits).cast("int")
     spilled = f"{schema}, h bigint, radix int"
-    root = shared_path(spark, "terms")
+    base = shared_path(spark, "terms")
+    root = f"{base}/0"
     part.withColumn("h", F.xxhash64("term")).withColumn("radix", radix(0)).write.partitionBy("radix").parquet(root)
+    # the empty term carries the numbers of records of the batches
+    total = spark.read.schema(spilled).parquet(root).where((F.col("h") == F.xxhash64(F.lit(""))) & (F.col("term") == "")).agg(F.sum("n_records")).first()[0] or 0
     leaves, open_, depth = [], [root], 0
     while open_:
         split = []
@@ -95,16 +99,18 @@ def term_counts(records: DataFrame, text: str, rows: int = ROWS, bits: int = BIT
                 else:
                     leaves.append(at)
         open_, depth = [], depth + 1
-        for at in split:
-            deeper = at.replace(root, f"{root}-{depth}").replace("radix=", "r")
+        for i, at in enumerate(split):
+            deeper = f"{base}/{depth}-{i}"
             spark.read.schema(spilled).parquet(at).withColumn("radix", radix(depth)).write.partitionBy("radix").parquet(deeper)
             open_.append(deeper)
+            deleted(spark, at)
     if not leaves:
+        deleted(spark, base)
         return spark.createDataFrame([], schema + ", n_total bigint")
     paths = spark.createDataFrame([(i, p) for i, p in enumerate(leaves)], "i int, path string").repartitionById(len(leaves), F.col("i"))
     counts = paths.select("path").mapInArrow(_aggregated, schema)
-    # the empty term carries the numbers of records of the batches
-    total = spark.read.schema(spilled).parquet(root).where((F.col("h") == F.xxhash64(F.lit(""))) & (F.col("term") == "")).agg(F.sum("n_records")).first()[0] or 0
+    counts = written(counts, "counts")
+    deleted(spark, base)
     return counts.where("term <> ''").withColumn("n_total", F.lit(total).cast("bigint"))
 
 
