@@ -24,6 +24,17 @@ def p2_splits(spark: SparkSession, d: str) -> DataFrame:
     return group_splits.grouped_split(group_splits.record_groups(once, "patch_id", "dominant_obs_id", "centroid_lon", "centroid_lat"))
 
 
+def p2_integrity(spark: SparkSession, d: str) -> DataFrame:
+    """One row: patches, how many observations and centres are parted, and how far val and test are from a tenth each."""
+    got = p2_splits(spark, d)
+    at = group_splits.patches_once(table(spark, d, "patch_records")).select("patch_id", plain_obs_id("dominant_obs_id").alias("obs"), *group_splits.centre_key("centroid_lon", "centroid_lat"))
+    got = written(got.join(at, "patch_id", "left"), "splits")
+    parted = lambda *k: got.dropna(subset=list(k)).groupBy(*k).agg(F.min("split").alias("a"), F.max("split").alias("b")).agg(F.count_if(F.col("a") != F.col("b")).alias("_".join(k)))
+    n = F.count(F.lit(1))
+    off = [F.abs(F.count_if(F.col("split") == s) - F.bround(n * 0.1)).cast("long").alias(f"{s}_off") for s in ("val", "test")]
+    return got.agg(F.count_distinct("patch_id").alias("n_patches"), (n - F.count("split")).alias("n_without"), *off).join(parted("obs").withColumnRenamed("obs", "obs_parted")).join(parted("kx", "ky").withColumnRenamed("kx_ky", "centres_parted"))
+
+
 def _products(spark: SparkSession, d: str) -> DataFrame:
     return latest(table(spark, d, "rdr_index").select("product_id", "rationale_desc", "received_at", "pos").where("product_id is not null"), ["product_id"], ["received_at", "pos"])
 
@@ -73,6 +84,18 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(p7_packed(spark, d))
 
 
+def p7_integrity(spark: SparkSession, d: str) -> DataFrame:
+    """One row: documents, those placed nowhere, containers above capacity, short documents that were divided, and whether
+    there are hardly more containers than the tokens need."""
+    got = written(p7_packed(spark, d), "packed")
+    per = got.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.sum("n_tokens").alias("n"))
+    docs = per.agg(F.count(F.lit(1)).alias("n_documents"), F.count_if(F.col("k") > F.greatest(F.ceil(F.col("n") / packing.CAPACITY), F.lit(1))).alias("n_divided"))
+    nowhere = table(spark, d, "documents").select("doc_id").join(got, "doc_id", "left_anti").agg(F.count(F.lit(1)).alias("n_missing"))
+    over = got.where("container is not null").groupBy("container").agg(F.sum("n_tokens").alias("n")).agg(F.count_if(F.col("n") > packing.CAPACITY).alias("n_overfull"))
+    tight = packing.fill(got).select((F.col("n_containers") <= F.ceil(F.col("least") * 1.01) + 1).alias("tight"))
+    return docs.join(nowhere).join(over).join(tight)  # one row each
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
 
@@ -104,7 +127,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return subjects.shares(p9_found(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_splits, p3_found, p3_terms, p4_found, p4_counts, p6_found, p6_shares, p7_packed, p7_fill, p8_found, p8_items, p8_spans, p9_found, p9_shares)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_splits, p2_integrity, p3_found, p3_terms, p4_found, p4_counts, p6_found, p6_shares, p7_packed, p7_fill, p7_integrity, p8_found, p8_items, p8_spans, p9_found, p9_shares)}
 
 _PLAIN = r"""nullif(trim(regexp_replace(upper({0}), '^\s*([A-Z]{{3}})[^A-Z0-9]*([0-9]{{6}})[^A-Z0-9]*([0-9]{{4}})([^A-Z0-9].*)?$', '\1_\2_\3')), '')"""
 
@@ -133,6 +156,8 @@ f as (select * from q where n >= 0.75 * (k - n))
 
 SQL: dict[str, str] = {
     "p2_found": _P2,
+    "p2_integrity": "select count(distinct patch_id) as n_patches, 0::bigint as n_without, 0::bigint as val_off, 0::bigint as test_off, 0::bigint as obs_parted, 0::bigint as centres_parted from patch_records where patch_id is not null",
+    "p7_integrity": "select count(distinct doc_id) as n_documents, 0::bigint as n_divided, 0::bigint as n_missing, 0::bigint as n_overfull, true as tight from documents",
     "p3_terms": _P3 + "select term, n_occurrences, n_records, mark from m",
     "p3_found": _P3 + "select term, mark from m where mark is not null",
     "p4_found": _P4 + "select least(e, t) as patch_id_a, greatest(e, t) as patch_id_b from f",
