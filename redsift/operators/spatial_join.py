@@ -1,8 +1,10 @@
 """Points near other points or inside regions: a dual-tree join in distributed tasks.
 
-The plane is cut at its roots into one-degree cells (at most 64,800, a bound of the sphere, not of the data). A count
-per cell lets the driver pack neighbouring cells into tasks of about equal load and split a hot cell into a grid of
-tasks (some of its points against some of its regions), so no task grows with the hottest place. Each task builds a
+The plane is cut at its roots into one-degree cells (at most 64,800, a bound of the sphere, not of the data). Nodes with
+too many points are cut into 4 x 4 children, level by level, and regions go to the nodes that they touch; a node without
+both sides is discarded. Counts per node let the driver pack neighbouring nodes into tasks of about equal load; only what
+stays hot at the deepest level, such as points at one place, is cut by hash into a grid of tasks (some of its points
+against some of its regions), so no task grows with the hottest place. Each task builds a
 tree over its points and one over its regions and descends both at once: node pairs that cannot meet are discarded,
 pairs that certainly meet are accepted wholesale, and uncertain ones are refined down to leaves that are tested exactly.
 """
@@ -26,6 +28,8 @@ LON_SLACK = 1e-10
 PER_TASK = 200_000
 POINT_LEAF, REGION_LEAF, FAN = 16, 4, 4
 OUT_ROWS = 100_000
+#: Levels below the one-degree cells, and children along either side of a node.
+DEEPEST, SIDE = 4, 4
 
 
 # ---------------------------------------------------------------- trees in a task
@@ -215,29 +219,52 @@ def discs(df: DataFrame, name: str, lon: str, lat: str, km: float, radius: float
 
 
 def _plan(points: list[tuple[int, int]], regions: list[tuple[int, int]], tasks: int, per_task: int) -> tuple[list[tuple[int, int, int, int]], int]:
-    """Tasks of the cells: (cell, first task, splits of its points, splits of its regions). Cells in Z-order are packed
-    until a task has its share; a cell above ``per_task`` gets tasks of its own."""
+    """Tasks of the cells: (cell, first task, splits of its points, splits of its regions)."""
     p, r = dict(points), dict(regions)
-    cells = np.array(sorted(c for c in p if c in r), dtype=np.int64)
-    if not len(cells):
+    cells = sorted(c for c in p if c in r)
+    return _packed([(int(c), float(c % 360), float(c // 360), p[c], r[c]) for c in cells], tasks, per_task)
+
+
+def _packed(nodes: list[tuple[int, float, float, int, int]], tasks: int, per_task: int) -> tuple[list[tuple[int, int, int, int]], int]:
+    """Tasks of nodes (id, x, y, points, regions): in Z-order they fill tasks until each has its share; a node above it
+    gets tasks of its own. (id, first task, splits of its points, splits of its regions), and the number of tasks."""
+    if not nodes:
         return [], 1
-    cells = cells[_order((cells % 360).astype(float), (cells // 360).astype(float))]
-    load = {int(c): p[int(c)] + r[int(c)] for c in cells}
-    share = min(per_task, max(1, math.ceil(sum(load.values()) / tasks)))
+    share = _share(sum(p + r for *_, p, r in nodes), tasks, per_task)
     out, now, room = [], -1, 0
-    for c in map(int, cells):
-        if load[c] > share:
-            i, j = math.ceil(p[c] / share), math.ceil(r[c] / max(share, 1))
-            out.append((c, now + 1, i, j))
+    for k in _order(np.array([n[1] for n in nodes]), np.array([n[2] for n in nodes])):
+        name, _, _, p, r = nodes[k]
+        if p + r > share:
+            i, j = math.ceil(p / share), math.ceil(r / share)
+            out.append((name, now + 1, i, j))
             now, room = now + i * j, 0
         else:
-            if load[c] > room:
+            if p + r > room:
                 now, room = now + 1, share
-            out.append((c, now, 1, 1))
-            room -= load[c]
+            out.append((name, now, 1, 1))
+            room -= p + r
     return out, now + 1
 
 
+def _share(total: int, tasks: int, per_task: int) -> int:
+    return min(per_task, max(1, math.ceil(total / tasks)))
+
+
+def _node(x: Column, y: Column, level: int) -> Column:
+    """Number of the node of a level: the cell, then the row and the column of the node in it."""
+    cell, n = _cell(x, y).cast("long"), SIDE**level
+    inside = lambda v, first: F.least(F.greatest(F.floor((v - first) * n), F.lit(0)), F.lit(n - 1))
+    return (cell * n + inside(y, F.floor(cell / 360) - 90)) * n + inside(x, cell % 360)
+
+
+def _bounds(level: int, node: int) -> tuple[int, float, float, float, float]:
+    """Cell of a node, and its west, south, east and north edge. Clamped points lie on or beyond the outermost edges."""
+    n = SIDE**level
+    cell, row, col = node // (n * n), node // n % n, node % n
+    w, s = cell % 360 + col / n, cell // 360 - 90 + row / n
+    return cell, w, s if cell // 360 or row else -1e9, w + 1 / n, s + 1 / n if cell // 360 < 179 or row < n - 1 else 1e9
+
+
 def dual_tree_join(points: DataFrame, pid: str, lon: str, lat: str, regions: DataFrame, per_task: int = PER_TASK, counted: DataFrame | None = None) -> DataFrame:
     """Every pair of a point and a region (of :func:`boxes`, :func:`discs` or their union) that meet.
 
@@ -254,16 +281,47 @@ def dual_tree_join(points: DataFrame, pid: str, lon: str, lat: str, regions: Dat
     row, col = [F.least(F.greatest(F.floor(F.col(c)) + 90, F.lit(0)), F.lit(179)) for c in "sn"], [F.least(F.greatest(F.floor(F.col(c)), F.lit(0)), F.lit(359)) for c in "we"]
     in_cells = regions.withColumn("cy", F.explode(F.sequence(*row))).withColumn("cx", F.explode(F.sequence(*col))).withColumn("cell", (F.col("cy") * 360 + F.col("cx")).cast("int"))
     regions_per_cell = in_cells.groupBy("cell").count().collect()
-    plan, tasks = _plan([tuple(r) for r in per_cell], [tuple(r) for r in regions_per_cell], max(parallelism(spark), 2), per_task)
-    at = F.broadcast(spark.createDataFrame(plan, "cell int, first int, ni int, nj int"))
+    p, r = dict(map(tuple, per_cell)), dict(map(tuple, regions_per_cell))
+    width = max(parallelism(spark), 2)
+    share = _share(sum(p[c] + r[c] for c in p if c in r), width, per_task)
+    # nodes with more than twice a task's share of points are cut further; a level has SIDE * SIDE children of each such node
+    nodes = {(0, c): (p[c], r[c]) for c in p if c in r}
+    hot, placed = sorted(c for (_, c), (n, _) in nodes.items() if n > 2 * share), source.where(real).select(lon360(x).alias("x"), y.alias("y"))
+    deep: dict[tuple[int, int], int] = {}
+    for level in range(1, DEEPEST + 1):
+        if not hot:
+            break
+        parents = F.broadcast(spark.createDataFrame([(int(k),) for k in hot], "parent long"))
+        below = placed.select(_node(F.col("x"), F.col("y"), level - 1).alias("parent"), _node(F.col("x"), F.col("y"), level).alias("node")).join(parents, "parent").groupBy("node").count().collect()
+        if level == 1:
+            nodes = {k: v for k, v in nodes.items() if k[1] not in set(hot)}
+        hot = sorted(k for k, n in below if n > 2 * share and level < DEEPEST)
+        deep |= {(level, k): n for k, n in below if n <= 2 * share or level == DEEPEST}
+    leaf = "cell int, level int, node long, nw double, ns double, ne double, nn double"
+    leaves = spark.createDataFrame([(int(_bounds(*k)[0]), k[0], int(k[1]), *map(float, _bounds(*k)[1:])) for k in deep], leaf)
+    touching = in_cells.join(F.broadcast(leaves), "cell").where((F.col("w") <= F.col("ne")) & (F.col("e") >= F.col("nw")) & (F.col("s") <= F.col("nn")) & (F.col("n") >= F.col("ns")))
+    if deep:
+        met = {(k[0], k[1]): k[2] for k in touching.groupBy("level", "node").count().collect()}
+        nodes |= {k: (n, met[k]) for k, n in deep.items() if k in met}
+    names = sorted(nodes)
+    packed, tasks = _packed([(i, *_bounds(*k)[1:3], *nodes[k]) for i, k in enumerate(names)], width, per_task)
+    plan = [(names[i][0], int(names[i][1]), int(first), ni, nj) for i, first, ni, nj in packed]
+    at = F.broadcast(spark.createDataFrame(plan, "level int, node long, first int, ni int, nj int"))
     names = ["kind", "id", "a", "b", "c", "d"]
     here = points.where(real).select(F.col(f"`{pid}`").cast("string").alias("id"), lon360(x).alias("a"), y.alias("b"))
-    here = here.withColumn("cell", _cell(F.col("a"), F.col("b"))).join(at, "cell")
+    # a point lies in one node of the plan; without deep ones there is one level to look at
+    levels = sorted({k[0] for k in nodes} | {0})
+    mine = F.array(*[F.struct(F.lit(k).alias("level"), _node(F.col("a"), F.col("b"), k).alias("node")) for k in levels])
+    here = here.withColumn("k", F.explode(mine)) if len(levels) > 1 else here.withColumn("k", mine[0])
+    here = here.select("id", "a", "b", "k.level", "k.node").join(at, ["level", "node"])
     i = F.pmod(F.xxhash64("id"), F.col("ni")).cast("int")
     here = here.withColumn("task", F.explode(F.transform(F.sequence(F.lit(0), F.col("nj") - 1), lambda j: F.col("first") + i * F.col("nj") + j)))
     here = here.select("task", F.lit(0).alias("kind"), "id", "a", "b", F.lit(0.0).alias("c"), F.lit(0.0).alias("d"))
     j = F.pmod(F.xxhash64("rid", "a"), F.col("nj")).cast("int")
-    there = in_cells.join(at, "cell").withColumn("task", F.explode(F.transform(F.sequence(F.lit(0), F.col("ni") - 1), lambda i: F.col("first") + i * F.col("nj") + j)))
+    told = ["kind", "rid", "a", "b", "c", "d", "level", "node"]
+    there = in_cells.withColumns({"level": F.lit(0), "node": F.col("cell").cast("long")}).select(told)
+    there = (there.unionByName(touching.select(told)) if deep else there).join(at, ["level", "node"])
+    there = there.withColumn("task", F.explode(F.transform(F.sequence(F.lit(0), F.col("ni") - 1), lambda i: F.col("first") + i * F.col("nj") + j)))
     there = there.select("task", "kind", F.col("rid").cast("string").alias("id"), "a", "b", "c", "d")
     both = here.unionByName(there).repartitionById(tasks, F.col("task"))
 

@@ -59,3 +59,21 @@ def test_hot_place_is_cut_into_a_grid_of_tasks(spark):
 def test_empty_sides(spark):
     assert joined(spark, [], [("b", 0.0, 1.0, 0.0, 1.0)]) == []
     assert joined(spark, [("a", 0.0, 0.0, None)], [], []) == []
+
+
+def test_hot_cells_are_cut_by_place(spark):
+    g = np.random.default_rng(8)
+    near = lambda n, s: 20.5 + g.normal(0, s, n)
+    x, y = np.concatenate([near(700, 0.05), near(200, 0.3), g.random(100) * 360]), np.concatenate([near(700, 0.05), near(200, 0.3), g.random(100) * 180 - 90])
+    x[:40], y[:40] = np.round(x[:40] * 64) / 64, np.round(y[:40] * 64) / 64  # on the edges of nodes
+    w, s = np.concatenate([near(60, 0.1), [0.0, 20.5]]), np.concatenate([near(60, 0.1), [-90.0, 20.5]])
+    e, n = w + np.concatenate([g.random(60) * 0.1, [360.0, 0.25]]), s + np.concatenate([g.random(60) * 0.1, [180.0, 0.25]])
+    x[0], y[0] = 20.75, 20.75
+    points = [(f"p{i}", float(a), float(b), None) for i, (a, b) in enumerate(zip(x, y, strict=True))]
+    boxes = [(f"b{i}", float(a), float(b), float(c), float(d)) for i, (a, b, c, d) in enumerate(zip(w, e, s, n, strict=True))]
+    discs = [(f"d{i}", float(x[i]), float(y[i])) for i in range(0, 400, 10)]
+    want = sorted((f"p{i}", f"b{j}") for i in range(len(x)) for j in range(len(w)) if w[j] - sj.LON_SLACK <= x[i] <= e[j] + sj.LON_SLACK and s[j] <= y[i] <= n[j])
+    want += sorted((f"p{i}", f"d{j}") for i in range(len(x)) for j in range(0, 400, 10) if sj.haversine(x[i], y[i], x[j], y[j], R) <= 2.0)
+    for per_task in (20, 150, sj.PER_TASK):
+        got = joined(spark, points, boxes, discs, 2.0, per_task)
+        assert len(got) == len(set(got)) and set(got) == set(want)
