@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,12 +21,18 @@ def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """First row of each key in ``order`` (nulls first); a null key is a key."""
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """First row of each key in ``order`` (nulls first, ties: the least remaining columns that have an order); a null key is
+    a key. An aggregation with a partial step, so a hot key is one row per task before it is shuffled."""
+    return _kept(df, keys, [F.col(c) for c in order], F.min_by)
 
 
 def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Last row of each key in ``order``, where a null sorts last and therefore wins."""
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_first() for c in order])
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """Last row of each key in ``order``, where a null sorts last and therefore wins; otherwise as :func:`keep_first`."""
+    return _kept(df, keys, [c for name in order for c in (F.col(name).isNull(), F.col(name))], F.max_by)
+
+
+def _kept(df: DataFrame, keys: list[str], order: list[Column], pick: Callable) -> DataFrame:
+    ties = [F.col(f"`{c}`") for c, t in df.dtypes if c not in keys and "map<" not in t and t not in ("variant", "void")]
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    got = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(pick(whole, F.struct(*[c.alias(f"_{i}") for i, c in enumerate([*order, *ties])])).alias("_best"))
+    return got.select("_best.*")

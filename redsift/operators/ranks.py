@@ -53,3 +53,23 @@ def percentiles(df: DataFrame, by: list[str], value: str, ps: list[float], out:
         part = F.lit(float(p)) * (F.max("total") - 1)
         found.append(lo + (hi - lo) * (part - F.floor(part)))
     return c.groupBy(*[F.col(f"`{g}`") for g in by]).agg(F.array(*found).alias(out), F.max("total").alias("n")).where("n is not null")
+
+
+def with_next(df: DataFrame, by: list[str], order: list[str], value: str, out: str = "next", first: str = "first") -> DataFrame:
+    """``df`` with the value of the next row of its group in ``order`` (null for the last) and whether a row is the first.
+
+    Rows are range-partitioned by group and order, so a hot group spreads over tasks; what follows the last row of a
+    group in a partition is the first one in the next partition that holds the group. Nulls come first; equal orders go by
+    the value.
+    """
+    keys = [F.col(f"`{g}`") for g in by]
+    by_order = [F.col(f"`{c}`").asc_nulls_first() for c in dict.fromkeys([*order, value])]
+    got = written(df.repartitionByRange(*[k.asc_nulls_first() for k in keys], *by_order).withColumn("_p", F.spark_partition_id()), "ordered")
+    inside = Window.partitionBy("_p", *keys).orderBy(*by_order)
+    got_next = got.withColumn("_v", F.lead(F.struct(F.col(f"`{value}`").alias("v"))).over(inside)).withColumn("_i", F.row_number().over(inside))
+    # a row per partition and group that it holds
+    heads = got_next.where("_i = 1").select("_p", *keys, F.col(f"`{value}`").alias("_head"))
+    over = Window.partitionBy(*keys).orderBy("_p")
+    heads = heads.withColumn("_after", F.lead(F.struct(F.col("_head").alias("v"))).over(over)).withColumn("_lead", F.row_number().over(over) == 1).drop("_head")
+    j = got_next.alias("l").join(heads.alias("r"), same("l", "r", by) & (F.col("l._p") == F.col("r._p")))
+    return j.select(*[F.col(f"l.`{c}`") for c in df.columns], F.coalesce(F.col("l._v"), F.col("r._after"))["v"].alias(out), ((F.col("l._i") == 1) & F.col("r._lead")).alias(first))

@@ -14,7 +14,7 @@ from redsift.functions import text as tx
 from redsift.functions.ids import plain_obs_id, product_observation, product_type
 from redsift.operators import catalog, embeddings, pairs, splits, stats, text_stats
 from redsift.operators.latest import keep_first, keep_last
-from redsift.operators.ranks import percentiles, same
+from redsift.operators.ranks import percentiles, same, with_next
 from redsift.session import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -244,10 +244,7 @@ p as (select o_orderkey as l, nxt as r, o_orderkey || '__' || nxt as pair_key fr
 
 
 def _pairs(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    a = table(spark, d, "orders").withColumn("nxt", F.lead("o_orderkey").over(w)).where("nxt is not null")
+    a = with_next(table(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderkey", "nxt").where("nxt is not null")
     l, r = F.col("o_orderkey").cast("string"), F.col("nxt").cast("string")  # noqa: E741
     return a.select(l.alias("left_obs"), r.alias("right_obs"), pairs.pair_key(l, r).alias("pair_key"))
 
@@ -625,6 +622,15 @@ def cosine_topk(spark, d):
     return embeddings.cosine_topk(table(spark, d, "embeddings"), "vec_id", "embedding", 3, 20)
 
 
+@query("select true as enough, count(*) filter (vec_id % 20 = 0) as n_queries from embeddings where embedding is not null")
+def ivf_recall(spark, d):
+    """Whether the inverted file finds at least nine tenths of the exact neighbours of all queries."""
+    e = table(spark, d, "embeddings")
+    exact, found = (f(e, "vec_id", "embedding", 3, 20).select("vec_id", "neighbour") for f in (embeddings.cosine_topk, embeddings.ivf_topk))
+    both = exact.withColumn("e", F.lit(1)).join(found.withColumn("f", F.lit(1)), ["vec_id", "neighbour"], "left")
+    return both.agg((F.count("f") >= 0.9 * F.count("e")).alias("enough"), F.count_distinct("vec_id").alias("n_queries"))
+
+
 @query()
 def pca_projection(spark, d):
     return embeddings.pca(table(spark, d, "embeddings"), "vec_id", "embedding")

@@ -9,10 +9,11 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redsift.fixed import COMPLETED, FAILED, QUEUED, RUNNING, SKIPPED
+from redsift.operators.ranks import with_next
 
 
 def latest_state(events: DataFrame, job: str, ts: str, order: str) -> DataFrame:
@@ -25,10 +26,10 @@ def latest_state(events: DataFrame, job: str, ts: str, order: str) -> DataFrame:
 def stall_gaps(events: DataFrame, job: str, ts: str, order: str, seconds: int, grace: int = 0) -> DataFrame:
     """Gaps between consecutive events of a job longer than a timeout; before the second event ``grace`` more is given.
 
-    The window is per job and ordered in time; a job's log is one stream."""
-    w = Window.partitionBy(job).orderBy(ts, order)
-    d = events.withColumn("gap_s", (F.unix_micros(F.lead(ts).over(w).cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))) / 1e6).withColumn("_r", F.row_number().over(w))
-    return d.where(F.col("gap_s") > F.lit(seconds) + F.when(F.col("_r") == 1, grace).otherwise(0)).select(job, ts, order, F.round("gap_s", 3).alias("gap_s"))
+    Events are ordered over range partitions, so a job with very many of them is not gathered."""
+    d = with_next(events.select(job, ts, order), [job], [ts, order], ts, "_next", "_first")
+    d = d.withColumn("gap_s", (F.unix_micros(F.col("_next").cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))) / 1e6)
+    return d.where(F.col("gap_s") > F.lit(seconds) + F.when(F.col("_first"), grace).otherwise(0)).select(job, ts, order, F.round("gap_s", 3).alias("gap_s"))
 
 
 def last_valid(events: DataFrame, job: str, ts: str, value: str) -> DataFrame:

@@ -217,3 +217,29 @@ def test_centres_lie_in_their_strips(spark, data):
             assert r["share"] == pytest.approx(dx * dy / 0.018**2, abs=1e-6) and r["share"] >= 0.75 - 1e-6
     cover = {r["id"]: r for r in q.strip_coverage(spark, data).collect()}
     assert all(0 <= c["covered"] <= c["total"] + 1e-9 for c in cover.values())
+
+
+def test_next_rows_equal_plain_order(spark):
+    from redsift.operators.ranks import with_next
+
+    g = np.random.default_rng(4)
+    rows = [(k, int(t), i) for k, n in (("hot", 400), ("one", 1), (None, 30)) for i, t in enumerate(g.integers(0, 50, n))] + [("hot", None, 900)]
+    got = with_next(spark.createDataFrame(rows, "k string, t int, i int").repartition(9), ["k"], ["t", "i"], "i").collect()
+    assert len(got) == len(rows)
+    for k in ("hot", "one", None):
+        order = sorted((r for r in rows if r[0] == k), key=lambda r: (-1 if r[1] is None else r[1], r[2]))
+        want = {r[2]: (order[j + 1][2] if j + 1 < len(order) else None, j == 0) for j, r in enumerate(order)}
+        assert {r["i"]: (r["next"], r["first"]) for r in got if r["k"] == k} == want
+
+
+def test_inverted_file_finds_clustered_neighbours(spark):
+    from redsift.operators.embeddings import cosine_topk, ivf_topk
+
+    g = np.random.default_rng(9)
+    centres = g.normal(size=(30, 16))
+    rows = [(i, (centres[i % 30] + g.normal(0, 0.2, 16)).tolist()) for i in range(1200)] + [(5000, None), (5001, [0.0] * 16)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    exact = {(r["id"], r["neighbour"]) for r in cosine_topk(df, "id", "v", 5, 20).collect()}
+    found = {(r["id"], r["neighbour"]) for r in ivf_topk(df, "id", "v", 5, 20, per_task=15).collect()}
+    assert len(exact & found) >= 0.9 * len(exact) and len(found) == len(exact)
+    assert ivf_topk(df.limit(0), "id", "v").count() == 0
