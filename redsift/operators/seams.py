@@ -5,6 +5,8 @@ Fixed values: line length 41, 12 angles, sides 2 pixels away, weights 1 and 0.3,
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 from redsift.operators.raster import box_sum, erode
@@ -31,15 +33,23 @@ def line_points(angle: float, shift: float, length: int) -> np.ndarray:
     return np.unique(np.column_stack([np.rint(t * dy + shift * dx), np.rint(t * dx - shift * dy)]).astype(int), axis=0)
 
 
-def _sums(stack: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Of each layer, the sum over the points around every pixel; outside counts as zero."""
-    r = int(np.abs(points).max(initial=0))
-    h, w = stack.shape[1:]
-    pad = np.pad(stack, ((0, 0), (r, r), (r, r)))
-    out = np.zeros_like(stack)
-    for dy, dx in points:
-        out += pad[:, r + dy : r + dy + h, r + dx : r + dx + w]
-    return out
+@lru_cache(maxsize=8)
+def _kernels(h: int, w: int) -> tuple[tuple[int, int], int, np.ndarray]:
+    """Size and margin of the transforms of a tile, and the transformed kernels: angle by (line, left, right)."""
+    points = [[line_points(np.pi * k / ANGLES, s, LENGTH) for s in (0, -OFFSET, OFFSET)] for k in range(ANGLES)]
+    r = max(int(np.abs(p).max()) for row in points for p in row)
+    shape = (h + 2 * r, w + 2 * r)
+    out = np.zeros((ANGLES, 3, *shape))
+    for k, row in enumerate(points):
+        for j, p in enumerate(row):
+            out[k, j, -p[:, 0] % shape[0], -p[:, 1] % shape[1]] = 1.0  # sums over a + point: a correlation
+    return shape, r, np.fft.rfft2(out)
+
+
+def _sums(stack: np.ndarray, angle: int, which: int, size: tuple[int, int]) -> np.ndarray:
+    """Sums of transformed layers over the points of a kernel around every pixel; outside counts as zero."""
+    shape, _, kernels = _kernels(*size)
+    return np.fft.irfft2(stack * kernels[angle, which], s=shape)[:, : size[0], : size[1]]
 
 
 def _closed(mask: np.ndarray, k: int) -> np.ndarray:
@@ -146,13 +156,15 @@ def detect_seam(image: np.ndarray, elevation: np.ndarray, valid: np.ndarray) ->
     gi, ge = sharp_gradient(image, valid), sharp_gradient(elevation, valid)
     base = [max(float((g * f).sum() / f.sum()), 1e-6) for g in (gi, ge)]
     floor = [FLOOR * max(float(a[valid].std(ddof=1)), 1e-4) for a in (image, elevation)]
-    lines = np.stack([f, gi * f, ge * f])
-    sides = np.stack([f, image * f, image**2 * f, elevation * f, elevation**2 * f])
+    # values are taken from their means, which moves no difference and keeps the sums of squares exact
+    image, elevation = (np.where(valid, a - a[valid].mean(), 0.0) for a in (image, elevation))
+    lines = np.fft.rfft2(np.stack([f, gi * f, ge * f]), s=_kernels(h, w)[0])
+    sides = np.fft.rfft2(np.stack([f, image * f, image**2 * f, elevation * f, elevation**2 * f]), s=_kernels(h, w)[0])
     scores, parts = [], []
     for k in range(ANGLES):
-        th = np.pi * k / ANGLES
-        n, *g = _sums(lines, line_points(th, 0, LENGTH))
-        left, right = (_sums(sides, line_points(th, s, LENGTH)) for s in (-OFFSET, OFFSET))
+        n, *g = _sums(lines, k, 0, (h, w))
+        left, right = (_sums(sides, k, j, (h, w)) for j in (1, 2))
+        n, left[0], right[0] = np.rint(n), np.rint(left[0]), np.rint(right[0])  # numbers of pixels
         jumps = []
         for c, least in zip((1, 3), floor, strict=True):
             mean = [s[c] / np.maximum(s[0], 1) for s in (left, right)]
