@@ -271,6 +271,35 @@ def ring_overlaps(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(run, f"{rest}, area double")
 
 
+def ortho_overlap(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (ring, west, south, east, north, present, placed) with ``overlap``: the share of the ring's area that the
+    image's box covers. The box's longitudes are brought to [-180, 180); one that then runs backward crosses that meridian
+    and counts as two. No file or no area gives 0, a file without a reference system 1."""
+    kept = [c for c in pairs.columns if c not in ("ring", "west", "south", "east", "north")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for value, w, s, e, n, there, placed in zip(*(pdf[c] for c in ("ring", "west", "south", "east", "north", "present", "placed")), strict=True):
+                ring = _ring(value)
+                whole = abs(area(ring)) if len(ring) > 2 else 0.0
+                if not there or pd.isna(there):
+                    out.append(0.0)
+                elif not placed or pd.isna(placed):
+                    out.append(1.0)
+                elif whole == 0 or pd.isna([w, s, e, n]).any():
+                    out.append(0.0)
+                else:
+                    w, e = ((float(v) + 180) % 360 - 180 for v in (w, e))
+                    spans = [(w, e)] if w <= e else [(w, 180.0), (-180.0, e)]
+                    a, b = (np.array([x[k] for x in spans]) for k in (0, 1))
+                    out.append(float(clip_areas(ring, a, np.full(len(a), float(s)), b, np.full(len(a), float(n))).sum()) / whole)
+            yield pdf[kept].assign(overlap=pd.Series(out, index=pdf.index, dtype="float64"))
+
+    kinds = dict(pairs.dtypes)
+    return pairs.mapInPandas(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "overlap double"]))
+
+
 def coverage_stats(centres: DataFrame, size: float | tuple[float, float]) -> DataFrame:
     """``(id, n, covered, total)`` per strip: centres, area of the union of their patches, summed area.
 

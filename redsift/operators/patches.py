@@ -16,7 +16,7 @@ def patch_records(centres: DataFrame, footprints: DataFrame, metadata: DataFrame
 
     centres: pos, cx, cy, t_start, t_stop; of equal centres (to ``digits``) the first by ``pos`` counts. footprints: id,
     west, south, east, north. metadata: obs_id, rationale_desc and the band flags. Centres are numbered in order of
-    ``pos`` before any is left out, so numbers have gaps. Contributors come by area, ties by id, the first is dominant;
+    ``pos`` before any is left out, so numbers have gaps. Contributors come by area (to 15 decimals), ties by id, the first is dominant;
     fractions are of their summed area. A contributor without metadata counts as one without bands and text. Null
     centres and degenerate footprints overlap nothing.
     """
@@ -26,7 +26,7 @@ def patch_records(centres: DataFrame, footprints: DataFrame, metadata: DataFrame
     numbered = ranked(once, [F.col("pos")]).select((F.col("_r") - 1).alias("id"), "cx", "cy", "t_start", "t_stop", *[v.alias(k) for k, v in box.items()])
     known = metadata.select(F.col("obs_id").alias("box_id"), "rationale_desc", *[F.coalesce(f, F.lit(False)).alias(f) for f in FLAGS], F.lit(True).alias("known"))
     each = box_overlaps(numbered.select("id", *box), footprints, cell).where("area > 0").join(known, "box_id", "left")
-    row = F.struct((-F.col("area")).alias("k"), "box_id", "area", "rationale_desc", "known", *FLAGS)
+    row = F.struct((-F.round("area", 15)).alias("k"), "box_id", "area", "rationale_desc", "known", *FLAGS)
     # as many as there are footprints over one patch
     got = each.groupBy(F.col("window_id").alias("id")).agg(F.sum("area").alias("total"), F.array_sort(F.collect_list(row)).alias("c"))
     has = lambda f: F.exists("c", lambda x: F.coalesce(x[f], F.lit(False)))

@@ -68,3 +68,8 @@ def assembled(pixels: DataFrame, channels: list[str], fill: float = 0.0) -> Data
     by = best.groupBy("window_id", "height", "width").agg(F.map_from_entries(F.collect_list(F.struct("channel", "values"))).alias("m"))  # a few channels
     blank = F.array_repeat(F.lit(fill), (F.col("height") * F.col("width")).cast("int"))
     return by.select("window_id", "height", "width", F.flatten(F.array(*[F.coalesce(F.try_element_at("m", F.lit(c)), blank) for c in order])).alias("tile"))
+
+
+def merge_counts(windows: DataFrame, tiles: DataFrame, cell: float = 1.0) -> DataFrame:
+    """``(window_id, num_merges)``: how many tiles a window is put together from; windows that meet none are left out."""
+    return box_overlaps(windows, tiles, cell).groupBy("window_id").agg(F.count_distinct("box_id").alias("num_merges"))

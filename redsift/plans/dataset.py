@@ -44,7 +44,7 @@ k as (select pos, cx, cy, greatest(least(cx + 0.01::double, east) - greatest(cx
 c as (select * from k where o > 0.6::double qualify row_number() over (partition by round_even(cx, 6), round_even(cy, 6) order by pos, cx, cy) = 1),
 n as (select row_number() over (order by pos, cx, cy) - 1 as i, cx, cy, cx - {_SIDE}::double / 2 as w, cy - {_SIDE}::double / 2 as s, cx + {_SIDE}::double / 2 as e, cy + {_SIDE}::double / 2 as t from c),
 o as (select i, cx, cy, x.id, (least(n.e, x.east) - greatest(n.w, x.west)) * (least(n.t, x.north) - greatest(n.s, x.south)) as area from n join s x on n.w < x.east and x.west < n.e and n.s < x.north and x.south < n.t),
-r as (select i, cx, cy, list(o.id order by area desc, o.id) as ids, list(area order by area desc, o.id) as areas, list(coalesce(color, false) order by area desc, o.id) as colors, list(why order by area desc, o.id) as texts, sum(area) as total from o left join m using (id) group by 1, 2, 3)
+r as (select i, cx, cy, list(o.id order by round(area, 15) desc, o.id) as ids, list(area order by round(area, 15) desc, o.id) as areas, list(coalesce(color, false) order by round(area, 15) desc, o.id) as colors, list(why order by round(area, 15) desc, o.id) as texts, sum(area) as total from o left join m using (id) group by 1, 2, 3)
 """
 
 
@@ -119,6 +119,11 @@ def window_read(spark, d):
     return got.select("window_id", F.transform("values", lambda x: F.round(x, 4)).alias("pixels"))
 
 
+@query(_TILES + "select window_id, count(distinct vec_id) as num_merges from w join t on west < ww + 8 and ww < west + 8 and north - 8 < wn and wn - 8 < north group by 1")
+def window_merges(spark, d):
+    return windows.merge_counts(_windows(spark, d), _tiles(spark, d), 8.0)
+
+
 @query(_TILES + """select window_id, list(round(coalesce(case when z <> 0 then z * 2 + 1 end, 0), 4) order by i) || [0 for k in range(64)] as tile from (select window_id, i, max(z) as z from (select window_id, i, z from c union all select window_id, i, null from p) group by 1, 2) group by 1""")
 def tile_assembly(spark, d):
     got = windows.window_pixels(_windows(spark, d), _tiles(spark, d), cell=8.0).withColumn("source", F.lit("COLOR"))
@@ -233,6 +238,18 @@ def solar_distribution(spark, d):
     return rounded(training.solar_distribution(v, "x", "y", "z").select("vec_id", "azimuth", "elevation"))
 
 
+@query(f"""with b as (select pos, {lon('min_longitude')} as w, {lon('max_longitude')} as e, min_latitude as s, max_latitude as n, pos % 7 <> 3 as present, pos % 5 <> 1 as placed from rdr_index),
+c as (select *, {lon('(w + (e - w) / 4)')} as a, {lon('(e + (e - w) / 4)')} as z from b)
+select pos, case when not present then 0 when not placed then 1 when w is null or e is null or s is null or n is null or w >= e or s >= n then 0
+ else round(0.5 * (case when a <= z then greatest(0, least(e, z) - greatest(w, a)) else greatest(0, e - greatest(w, a)) + greatest(0, least(e, z) - w) end) / (e - w), 6) end::double as overlap from c""")
+def ortho_overlap(spark, d):
+    # the image lies a quarter of the width to the east of the footprint, and half of its height to the north
+    r = table(spark, d, "rdr_index")
+    w, e, s, n = normalize_longitude("min_longitude"), normalize_longitude("max_longitude"), F.col("min_latitude"), F.col("max_latitude")
+    p = r.select("pos", catalog.box_ring(w, s, e, n).alias("ring"), (w + (e - w) / 4).alias("west"), (s + (n - s) / 2).alias("south"), (e + (e - w) / 4).alias("east"), (n + (n - s) / 2).alias("north"), (F.col("pos") % 7 != 3).alias("present"), (F.col("pos") % 5 != 1).alias("placed"))
+    return rounded(geometry.ortho_overlap(p).select("pos", "overlap"), 6)
+
+
 @query()
 def packing_comparison(spark, d):
     s = _footprints(spark, d).select("id", catalog.box_ring(F.col("west"), F.col("south"), F.col("east"), F.col("north")).alias("ring"))

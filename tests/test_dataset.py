@@ -243,3 +243,11 @@ def test_inverted_file_finds_clustered_neighbours(spark):
     found = {(r["id"], r["neighbour"]) for r in ivf_topk(df, "id", "v", 5, 20, per_task=15).collect()}
     assert len(exact & found) >= 0.9 * len(exact) and len(found) == len(exact)
     assert ivf_topk(df.limit(0), "id", "v").count() == 0
+
+
+def test_ortho_overlap_wraps(spark):
+    ring = [(179.0, 0.0), (180.0, 0.0), (180.0, 1.0), (179.0, 1.0)]
+    rows = [(1, ring, 179.5, 0.0, 181.0, 1.0, True, True), (2, ring, 0.0, 0.0, 1.0, 1.0, False, True), (3, ring, None, None, None, None, True, False), (4, None, 0.0, 0.0, 1.0, 1.0, True, True), (5, ring, 539.0, -1.0, 539.5, 0.25, True, True)]
+    df = spark.createDataFrame(rows, "id int, ring array<struct<x:double,y:double>>, west double, south double, east double, north double, present boolean, placed boolean")
+    got = {r["id"]: r["overlap"] for r in geometry.ortho_overlap(df).collect()}
+    assert got == pytest.approx({1: 0.5, 2: 0.0, 3: 1.0, 4: 0.0, 5: 0.125})
