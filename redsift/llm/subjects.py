@@ -324,7 +324,9 @@ def _counts(block: Block, best: np.ndarray, on: np.ndarray, n: int) -> np.ndarra
 
 
 def centroids(encoded: DataFrame, weights: list[np.ndarray], q: list[np.ndarray], labels: dict, n: int, rounds: int = ROUNDS) -> list[np.ndarray]:
-    """Unit centroids (subjects by dimensions) per language. labels: of a document, the numbers of its subjects (n: none)."""
+    """Unit centroids (subjects by dimensions) per language. labels: of a document, the numbers of its subjects.
+
+    The last of the n is that of documents about none of the others: what they say competes with the subjects."""
     cent: list[np.ndarray] | None = None
     for r in range(rounds):
         tables = None if cent is None else [a @ c.T for a, c in zip(q, cent, strict=True)]
@@ -337,12 +339,13 @@ def centroids(encoded: DataFrame, weights: list[np.ndarray], q: list[np.ndarray]
                 for i, d in enumerate(block.ids.to_pylist()):
                     if d in labels:
                         known[i] = True
-                        share[i, [s for s in labels[d] if s < n]] = 1
+                        share[i, labels[d]] = 1
             else:
                 known = np.ones(block.n_docs, dtype=bool)
                 best, top = _best(block, w, tables[k])
                 share = _counts(block, best, top > SURE, n).astype(float)
                 share[share < SENTENCES] = 0
+                share[share[:, : n - 1].any(axis=1), n - 1] = 0
             part = share / np.maximum(share.sum(axis=1, keepdims=True), 1)
             x, of = block.weights(w), block.doc[block.sentence]
             n_sent = np.bincount(block.doc, minlength=block.n_docs)
@@ -399,9 +402,9 @@ def subjects(docs: DataFrame, key: str, text: str, labels: DataFrame, label_key:
     encoded = written(hashed.where("n is null").select("doc_id", "lang", "starts", "codes").mapInArrow(_encode(spark.sparkContext.broadcast(terms)), f"doc_id {kind}, lang int, starts binary, terms binary"), "encoded")
     dropped(spark, hashed)
     q = basis(encoded, weights)
-    cent = centroids(encoded, weights, q, seeds, n)
+    cent = centroids(encoded, weights, q, seeds, n + 1)
     tables = [(a @ c.T).astype(np.float32) for a, c in zip(q, cent, strict=True)]
-    topical = [(_unit(a) @ c.T).max(axis=1, initial=0) > TOPICAL if a.size else np.zeros(0, dtype=bool) for a, c in zip(q, cent, strict=True)]
+    topical = [(_unit(a) @ c[:n].T).max(axis=1, initial=0) > TOPICAL if a.size else np.zeros(0, dtype=bool) for a, c in zip(q, cent, strict=True)]
     marks = [np.random.default_rng(99 + k).integers(1, 1 << 62, len(w)).astype(np.uint64) for k, w in enumerate(weights)]
     model = spark.sparkContext.broadcast((weights, tables, topical, marks))
 
@@ -419,9 +422,9 @@ def subjects(docs: DataFrame, key: str, text: str, labels: DataFrame, label_key:
                 if not len(block.terms):
                     continue
                 best, top = _best(block, weights[k], tables[k])
-                sure = top > SURE
-                others = _counts(block, best, sure, n)[block.doc, best] - sure
-                on = np.flatnonzero(top > MAYBE)
+                sure = (top > SURE) & (best < n)
+                others = _counts(block, best, sure, n + 1)[block.doc, best] - sure
+                on = np.flatnonzero((top > MAYBE) & (best < n))
                 frame = _frames(block, topical[k], marks[k])[on]
                 yield pa.RecordBatch.from_arrays(
                     [block.ids.take(pa.array(block.doc[on])), pa.array(at[block.rows[block.doc[on]]]), pa.array(best[on].astype(np.int32)), pa.array(top[on].astype(float)), pa.array(frame), pa.array((others[on] >= 1).astype(np.int64))],
