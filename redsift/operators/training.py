@@ -75,6 +75,14 @@ def channel_document(df: DataFrame, channels: list[str]) -> DataFrame:
     return moments(long, ["channel"], "value").drop("m2")
 
 
+def statistics_document(stats: DataFrame, channel: str = "channel") -> DataFrame:
+    """One row whose column ``channels`` maps each channel to its statistics, a struct of the other columns. Of a channel that
+    comes twice the first in order of the values counts; :func:`redsift.sources.writers.save_summary` writes it as JSON."""
+    rest = F.struct(*[c for c in stats.columns if c != channel])
+    once = stats.groupBy(F.col(channel).alias("_c")).agg(F.min(rest).alias("_s"))
+    return once.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_c", "_s")))).alias("channels"))  # a few channels
+
+
 def write_normalization(spark: SparkSession, path: str, mean: list[float], std: list[float], metadata: dict) -> None:
     """One JSON document of means and deviations per channel; lists of unequal length are an error."""
     if len(mean) != len(std):

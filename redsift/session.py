@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -38,7 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def own_dir(spark: SparkSession) -> str:
-    """This application's part of the shared folder; deleted when the driver's Python ends, if Spark still runs then."""
+    """This application's part of the shared folder; deleted when the driver's Python ends, if Spark still
+    runs then or the folder is mounted."""
     path = f"{shared_dir(spark)}/redsift/{spark.sparkContext.applicationId}"
     if path not in _OWN:
         _OWN.add(path)
@@ -53,6 +55,8 @@ def cleaned(spark: SparkSession, path: str | None = None) -> None:
     """Delete all tables of this application in the shared folder, once no result that reads them is needed."""
     if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
         deleted(spark, path or own_dir(spark))
+    elif path and path.startswith("file:"):  # Spark has stopped, but the folder is mounted here
+        shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
 def deleted(spark: SparkSession, path: str) -> None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from redsift.functions import masks
 from redsift.operators import cache, experiments, geometry, patches, raster, seams, training, windows
 from redsift.operators.ranks import percentiles
+from redsift.sources.writers import save_summary
 
 META = "obs_id string, rationale_desc string, has_near_infrared boolean, has_red boolean, has_blue_green boolean"
 
@@ -97,6 +98,9 @@ def test_chunks_and_documents_round_trip(spark, tmp_path):
     assert training.read_normalization(spark, str(tmp_path / "n")) == ([1.0, 2.0], [0.5, 0.25], {"n": 3})
     with pytest.raises(ValueError):
         training.write_normalization(spark, str(tmp_path / "n"), [1.0], [], {})
+    d = training.statistics_document(spark.createDataFrame([("red", 1.0, 2), ("blue", 0.5, 1), ("red", 3.0, 1)], "channel string, mean double, n int"))
+    save_summary(d, str(tmp_path / "s"))
+    assert spark.read.json(str(tmp_path / "s")).select("channels.red.mean", "channels.blue.n").first() == (1.0, 1)
     h = spark.createDataFrame([(2, None, 1.0), (1, None, None), (0, 3.0, None)], "step int, a double, b double")
     assert [r["step"] for r in training.history(h, "step", ["a", "b"]).collect()] == [0, 2]
     assert training.batch_means(h.limit(0), ["a"]).first()["a"] == 0.0
